@@ -48,7 +48,7 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input; for files their size on disk.  0 if it knows none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 

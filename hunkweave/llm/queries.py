@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, substring
 from .common import table
 
 
@@ -14,9 +14,27 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"), window=13)
+
+
+SQL = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s),
+        m AS (SELECT h, min(doc_id) AS low FROM k GROUP BY h),
+        r AS (SELECT DISTINCT k.doc_id, i + j AS i FROM k JOIN m USING (h), range(13) t(j) WHERE low < k.doc_id),
+        g AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+        o AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS keep FROM d LEFT JOIN g USING (doc_id))
+        SELECT doc_id, len(w) AS n_words, len(w) - len(keep) AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(keep, lambda x: w[x]), ' '), '')) AS kept_sha256 FROM o""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
