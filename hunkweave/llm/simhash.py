@@ -182,10 +182,10 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
         same = a0 == b0
         a1, b1 = split(a0, a2, t), split(b0, b2, t)
         kids = [(np.stack(x, 1), e, m) for x, e, m in (((a0, a1, b0, b1), err, True), ((a1, a2, b1, b2), err, True), ((a0, a1, b1, b2), err + 1, True), ((a1, a2, b0, b1), err + 1, ~same))]
-        for q, e, m in reversed(kids):
-            keep = (q[:, 0] < q[:, 1]) & (q[:, 2] < q[:, 3]) & (e <= budgets[t]) & m
-            if keep.any():
-                stack.append((t + 1, q[keep], e[keep]))
+        keeps = [(q[:, 0] < q[:, 1]) & (q[:, 2] < q[:, 3]) & (e <= budgets[t]) & m for q, e, m in kids]
+        q, e = (np.concatenate([x[i][keep] for x, keep in zip(kids, keeps)]) for i in (0, 1))
+        if len(q):
+            stack.append((t + 1, q, e))
     if not forest.links:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     i, j = (np.concatenate(x) for x in zip(*forest.links))
