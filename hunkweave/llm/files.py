@@ -18,14 +18,14 @@ def new_file(path: str):
     system, at = _at(path)
     system.create_dir(at.rpartition("/")[0], recursive=True)
     part = f"{at}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         yield out
     system.move(part, at)
 
 
 def open_file(path: str):
     system, at = _at(path)
-    return system.open_input_stream(at)
+    return system.open_input_stream(at, compression=None)
 
 
 def read_file(path: str) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, substring, wavelet
+from . import packing, simhash, substring, warc, wavelet
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), length=2048, windows=8).drop("ids")
 
@@ -33,6 +37,16 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op2_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+        m AS (SELECT hex, max(page_id) AS first FROM h GROUP BY hex)
+        SELECT page_id, n AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + list_sum(list_transform(range(5), lambda j: ((instr('0123456789abcdef', substr(hex, (1 + (5 * i + j) // 4)::BIGINT, 1)) - 1) // (2 ** (3 - (5 * i + j) % 4))::BIGINT % 2) * (2 ** (4 - j))::BIGINT))::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h JOIN m USING (hex)""",
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
