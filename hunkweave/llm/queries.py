@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, packing, simhash, substring, warc, wavelet
+from . import balltree, packing, pst, simhash, substring, warc, wavelet
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_documents(table(spark, sf_dir, "documents"), held_out_fold=1)
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), length=2048, windows=8).drop("ids")
 
