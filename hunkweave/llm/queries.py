@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, packing, pst, simhash, substring, toxicity, warc, wavelet
+from . import balltree, decontaminate, packing, pst, simhash, substring, toolcalls, toxicity, warc, wavelet
 from .common import table
 
 
@@ -44,6 +44,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"), window=13)
 
 
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(toolcalls.from_conversations(table(spark, sf_dir, "conversations")), {"reply": {"text": ("string", True)}})
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(wavelet.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -66,6 +74,31 @@ SQL = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_tool_call_linking": """
+        WITH c AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                     CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id FROM conversations),
+        k AS (SELECT call_id, min(turn) AS call_turn FROM c WHERE kind = 'call' AND call_id IS NOT NULL GROUP BY call_id),
+        a AS (SELECT DISTINCT call_id AS answer FROM c WHERE kind = 'result' AND call_id IS NOT NULL)
+        SELECT conv_id, turn, kind, c.call_id,
+               CASE kind WHEN 'call' THEN answer IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL ELSE false END AS linked,
+               CASE WHEN kind = 'call' THEN text IS NOT NULL END AS valid,
+               CASE WHEN call_turn IS NOT NULL THEN 0 END AS level,
+               coalesce(call_turn, turn) AS order_turn,
+               CASE kind WHEN 'call' THEN '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '},"id":' || coalesce(to_json(c.call_id)::VARCHAR, 'null') || ',"name":"reply","type":"call"}'
+                         WHEN 'result' THEN '{"call_id":' || coalesce(to_json(c.call_id)::VARCHAR, 'null') || ',"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"type":"result"}'
+                         ELSE '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"type":"message"}' END AS json
+        FROM c LEFT JOIN k ON c.call_id = k.call_id LEFT JOIN a ON c.call_id = answer""",
+    "op9_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        ds AS (SELECT doc_id, len(w) AS n, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
+        ks AS (SELECT item_id, len(w) AS size, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) >= 5),
+        kc AS (SELECT item_id, size, s, count(*) AS ci FROM ks GROUP BY ALL),
+        hit AS (SELECT doc_id, n, p, item_id, size, s, ci FROM ds JOIN kc USING (s)),
+        win AS (SELECT doc_id, item_id, size, n, least(size, n) - 4 AS m, s, ci, unnest(range(greatest(0, p - (size - 5)), least(p, greatest(0, n - size)) + 1)) AS start FROM hit),
+        cnt AS (SELECT doc_id, item_id, size, m, start, s, ci, count(*) AS cw FROM win GROUP BY ALL),
+        sim AS (SELECT doc_id, item_id, start, m + 4 AS n_words, sum(least(cw, ci)) / (m + size - 4 - sum(least(cw, ci)))::DOUBLE AS similarity FROM cnt GROUP BY doc_id, item_id, size, m, start)
+        SELECT doc_id, item_id, start, n_words, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sim WHERE similarity >= 0.8) WHERE r = 1""",
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
