@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ class BallTree:
 
 
 def _rows(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t = t.filter(pa.compute.equal(t.column("dim"), dim))
+    t = t.filter(pc.equal(t.column("dim"), dim))
     ids = t.column("id").to_numpy()
     raw = b"".join(t.column("v").to_pylist())
     return ids, np.frombuffer(raw, "<i8").reshape(len(ids), dim), t.column("low").to_numpy()

@@ -66,12 +66,16 @@ def fingerprint(hashes: np.ndarray, n_words64: int = 1) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, n_words64: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp binary) for every row; null and empty texts have the zero fingerprint."""
+def fingerprints(docs: DataFrame, width: int = 4, n_words64: int = 1, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False) -> DataFrame:
+    """(id, fp binary) for every row; null and empty texts have the zero fingerprint.  with_set: 8 bytes more tell sets of shingles apart."""
+
+    def mark(text: bytes | None) -> bytes:
+        h = shingle_hashes(text, width)
+        return fingerprint(h, n_words64) + (xxhash.xxh64_digest(np.unique(h).tobytes()) if with_set else b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), width), n_words64) for t in b.column(1)]
+            fps = [mark(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], [id_col, "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{id_col} long, fp binary")
@@ -114,22 +118,23 @@ def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return which, at // nb[which], at % nb[which]
 
 
-def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, leaf_pairs: int = 24, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that span the components of the leaves under one or two trie nodes.
+def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, leaf_pairs: int = 24, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j, sure) that span the components of the leaves under one or two trie nodes.
 
     keys: uint64, the trie's bit order from the highest bit; fps: uint64 rows for the whole Hamming distance.
     budgets[t]: errors allowed in the first t+1 bits.  start: depth of the two nodes.  sides: None for a node
-    with itself, else which leaves belong to the second node.
+    with itself, else which leaves belong to the second node.  tight: up to so many bits a link is sure; of the others
+    within the radius those between sure components are returned as well, for each leaf and component the closest.
     """
     order = np.argsort(keys, kind="stable") if sides is None else np.lexsort((keys, sides))
     k, f = keys[order], fps[order]
     n, forest = len(k), Forest(len(k))
     na = n if sides is None else int(n - sides.sum())
-    one = np.uint64(1)
+    one, unsure = np.uint64(1), []
     err0 = 0 if sides is None or not start or not 0 < na < n else int(np.bitwise_count((k[0] ^ k[na]) >> np.uint64(64 - start)))
     first = (0, n, 0, n) if sides is None else (0, na, na, n)
     if first[0] >= first[1] or first[2] >= first[3]:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     stack = [(start, np.array([first], np.int64), np.array([err0], np.int64))]
 
     def split(lo, hi, t):
@@ -152,8 +157,25 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
             x, y = x[keep], y[keep]
             for s in range(0, len(x), 4_000_000):
                 xs, ys = x[s : s + 4_000_000], y[s : s + 4_000_000]
-                near = np.bitwise_count(f[xs] ^ f[ys]).sum(axis=1, dtype=np.int64) <= radius
+                apart = np.bitwise_count(f[xs] ^ f[ys]).sum(axis=1, dtype=np.int64)
+                near = apart <= (radius if tight is None else tight)
                 forest.join(xs[near], ys[near])
+                if tight is not None:
+                    maybe = ~near & (apart <= radius)
+                    unsure.append((xs[maybe], ys[maybe], apart[maybe]))
+                    if sum(len(u[0]) for u in unsure) > 2_000_000:
+                        unsure[:] = [closest()]
+
+    def closest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the unsure links the closest from each leaf to each other component."""
+        x, y, apart = (np.concatenate(u) for u in zip(*unsure))
+        lx, ly = forest.label[x], forest.label[y]
+        x, y, apart, lx, ly = (v[lx != ly] for v in (x, y, apart, lx, ly))
+        keep = np.zeros(len(x), bool)
+        for leaf, other in ((x, ly), (y, lx)):
+            at = np.lexsort((apart, other, leaf))
+            keep[at[np.concatenate(([True], (leaf[at][1:] != leaf[at][:-1]) | (other[at][1:] != other[at][:-1])))] if len(at) else at] = True
+        return x[keep], y[keep], apart[keep]
 
     while stack:
         t, p, err = stack.pop()
@@ -186,10 +208,12 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
         q, e = (np.concatenate([x[i][keep] for x, keep in zip(kids, keeps)]) for i in (0, 1))
         if len(q):
             stack.append((t + 1, q, e))
-    if not forest.links:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = (np.concatenate(x) for x in zip(*forest.links))
-    return order[i], order[j]
+    i, j = (np.concatenate(x) for x in zip(*forest.links)) if forest.links else (np.empty(0, np.int64), np.empty(0, np.int64))
+    sure = np.ones(len(i), bool)
+    if unsure:
+        x, y, _ = closest()
+        i, j, sure = np.concatenate((i, x)), np.concatenate((j, y)), np.concatenate((sure, np.zeros(len(x), bool)))
+    return order[i], order[j], sure
 
 
 def _tries(bits: int, radius: int) -> list[tuple[int, list[int]]]:
@@ -239,7 +263,7 @@ def links(fps: DataFrame, radius: int = 4, leaves: int = 16_384) -> DataFrame:
         trie, lo, hi, ba, bb = (x.as_py() for x in key)
         fp, order = t.column("fp").to_numpy(), t.column("key").to_numpy().view(np.uint64)
         same = (lo, ba) == (hi, bb)
-        i, j = traverse(order, fp.view(np.uint64).reshape(-1, 1), tries[trie][1], radius, d, None if same else t.column("second").to_numpy().astype(np.int64))
+        i, j, _ = traverse(order, fp.view(np.uint64).reshape(-1, 1), tries[trie][1], radius, d, None if same else t.column("second").to_numpy().astype(np.int64))
         return pa.table({"a": fp[i], "b": fp[j]})
 
     return pair.select("fp", "key", "second", *keys).groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
@@ -261,3 +285,98 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
     least = held.groupBy("root").agg(F.min("low").alias("component_id"))
     named = held.join(least, "root").select("fp", "component_id")
     return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For five-word shingles and a similarity of 0.8: fingerprints of WORDS64 * 64 bits, of which a shingle set's differ in about
+#: 15 % at that similarity.  Each of 20 tries leads with 24 of the bits and admits two errors in them, which finds
+#: such a pair with a probability of over 0.99 together.  Pairs of at most TIGHT bits are almost surely similar, so of them a
+#: spanning forest is enough; of those up to LOOSE bits each leaf's closest in every other tree.  All are verified by
+#: their shingles.
+WORDS64, TRIE_BITS, TRIE_ERRORS, TIGHT, LOOSE = 4, 24, 2, 24, 58
+
+
+def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
+    """The leading bits of each trie: runs of the fingerprint's bits in two orders."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    out = []
+    for order in (np.arange(bits.shape[1]), np.random.default_rng(SEED).permutation(bits.shape[1])):
+        for a in range(0, bits.shape[1] - TRIE_BITS + 1, TRIE_BITS):
+            key = np.zeros((len(fps), 64), np.uint8)
+            key[:, :TRIE_BITS] = bits[:, order[a : a + TRIE_BITS]]
+            out.append(np.packbits(key, axis=1).view(">u8").ravel().astype(np.uint64))
+    return out
+
+
+def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
+    """(a, b) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys()."""
+    n = leaves.count()
+    d = max(0, min(16, math.ceil(math.log2(max(1, n) / per_node))))
+    masks = [0] + [sum(1 << b for b in c) for e in range(1, TRIE_ERRORS + 1) for c in combinations(range(d), e)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
+            for trie, key in enumerate(_led_keys(fps)):
+                p = (key >> np.uint64(64 - d)).astype(np.int64) if d else np.zeros(len(raw), np.int64)
+                for m in masks:
+                    q = p ^ m
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), trie), pa.int32()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(p > q), pa.array(key.view(np.int64)), b.column(0), b.column(1)], ["trie", "lo", "hi", "second", "key", "low", "fp"])
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        _, lo, hi = (x.as_py() for x in key)
+        raw, ids = t.column("fp").to_pylist(), t.column("low").to_numpy()
+        fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
+        i, j, _ = traverse(t.column("key").to_numpy().view(np.uint64), fps, [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if lo == hi else t.column("second").to_numpy().astype(np.int64), TIGHT)
+        a, b = ids[i], ids[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    sent = leaves.select("low", "fp").mapInArrow(send, "trie int, lo long, hi long, second boolean, key long, low long, fp binary")
+    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long")
+    return found.select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids whose documents' shingle sets, by 32 bits of each hash, have that similarity (Jaccard)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "s"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similar * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids, "id", "left_semi")
+    shingles = written(texts.mapInArrow(sets, "id long, s binary"), "shingles").dropDuplicates(["id"])
+    with_a = pairs.select("a", "b").join(shingles.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = with_a.join(shingles.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): groups of documents that links of at least that similarity connect; component_id is the smallest id.
+
+    Null and empty texts are copies of each other.  Rows with a null id are left out; rows that share an id are one
+    document, judged by any one of its texts.  An empty table gives none.
+    """
+    known = docs.where(F.col(id_col).isNotNull())
+    marks = written(fingerprints(known, width, WORDS64, id_col, text_col, with_set=True), "fingerprints")
+    leaves = written(marks.groupBy("fp").agg(F.min(id_col).alias("low")), "leaves")
+    found = written(candidate_links(leaves), "candidates")
+    roots = components(verified(found, known, width, similar, id_col, text_col))
+    named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
+    return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each group of near copies; rows with a null id stay."""
+    copies = near_copies(docs, width, similar, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__copy"))
+    return docs.join(copies, docs[id_col].cast("long") == F.col("__copy"), "left_anti")

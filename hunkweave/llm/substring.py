@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,8 +120,8 @@ def repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
             yield _merge_batch(held, n_buckets, window)
 
     def count(t: pa.Table) -> pa.Table:
-        packed = t.filter(pa.compute.is_valid(t.column("h")))
-        past = t.filter(pa.compute.is_valid(t.column("doc")))
+        packed = t.filter(pc.is_valid(t.column("h")))
+        past = t.filter(pc.is_valid(t.column("doc")))
         out = [pa.table({"doc": past.column("doc"), "h": pa.nulls(len(past), pa.binary()), "spans": past.column("spans")})]
         if len(packed):
             h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in packed.column("h")])

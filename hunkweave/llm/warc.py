@@ -164,7 +164,7 @@ def assemble(recs: DataFrame) -> DataFrame:
     # A capture's records stand next to each other, so (id, shard, place) is a key even where ids repeat.
     keyed = [main.withColumn("at", F.col("seq")), side["request"].withColumn("at", F.col("seq") - 1), side["metadata"].withColumn("at", F.col("seq") - 2)]
     a, b, c = (x.drop("seq") for x in keyed)
-    return a.join(b, ["id", "shard", "at"], "left").join(c, ["id", "shard", "at"], "left").select("capture", "request", "metadata")
+    return a.join(b.hint("merge"), ["id", "shard", "at"], "left").join(c.hint("merge"), ["id", "shard", "at"], "left").select("capture", "request", "metadata")
 
 
 def round_trip(pages: DataFrame, least: int = 0, **columns: str) -> DataFrame:
@@ -180,5 +180,5 @@ def round_trip(pages: DataFrame, least: int = 0, **columns: str) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     responses = flat.where("record_type = 'response'")
     targets = responses.select(F.col("rid").alias("target"), F.col("page_id").alias("refers_to")).distinct()
-    revisits = flat.where("record_type = 'revisit'").join(targets, "target", "left")
+    revisits = flat.where("record_type = 'revisit'").join(targets.hint("merge"), "target", "left")
     return revisits.select(*names, "refers_to").union(responses.select(*names, F.lit(None).cast("long")))
