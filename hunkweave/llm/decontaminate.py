@@ -78,7 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
     spans = starts.groupBy("doc_id", "n", "size").agg(F.collect_list("start").alias("starts"))
 
     held = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = held.select("doc_id", shingle_hashes(words_of(F.col("t"))).alias("hs"), F.size(words_of(F.col("t"))).alias("n"))
+    # Written, lest each window's slice hash its whole document again.
+    held = written(held.select("doc_id", words_of(F.col("t")).alias("w")).select("doc_id", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("hs")), "held")
     own = F.greatest(F.least("size", "n") - (WIDTH - 1), F.lit(1))
     window_rows = held.join(spans, ["doc_id", "n"]).select("doc_id", "size", "n", "hs", F.explode("starts").alias("start"))
     window_rows = window_rows.select("doc_id", "size", "start", F.least("size", "n").alias("n_words"), F.slice("hs", F.col("start") + 1, own).alias("hs")).distinct()
