@@ -14,7 +14,9 @@ import numpy as np
 
 END = 1
 #: Distinct words whose ids a worker keeps before it starts anew.
-WORDS = 700_000
+WORDS = 1_400_000
+#: New words that are asked for together.
+RUN = 200
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -45,6 +47,10 @@ class Encoder:
         spaced = self.tokenizer.encode(" b", add_special_tokens=False).ids
         self.drops_space = spaced == self.tokenizer.encode("b", add_special_tokens=False).ids
         assert probe[-len(spaced) :] == spaced
+        self.lead = 0 if self.drops_space else 1
+        signs = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.edge = np.zeros(signs[-1][1] + 1, bool)
+        self.edge[[i for x, i in signs if (x.endswith("</w>") if self.drops_space else x.startswith("\u0120"))]] = True
         self.known: dict[str, bytes] = {}
         self.marks = {x: self._encode(x) for x in ".,"}
 
@@ -67,11 +73,27 @@ class Encoder:
         return out
 
     def _learn(self, parts: set[str]) -> None:
-        """Asks the library for the ids of new parts.  A full stop or comma after a Latin letter is a part of its own."""
+        """Asks the library for the ids of new parts.  A full stop or comma after a Latin letter is a part of its own.
+
+        Words of letters alone are asked for many at a time: each is one word to the tokenizer, which begins with the
+        space's sign (byte-level BPE) or ends with the word's (word BPE), and so tells its ids from the next one's.
+        """
         ends = {x for x in parts if x[-1:] in self.marks and len(x) > 1 and x[-2].isalpha() and x[-2] < "\u0180"}
         plain = list((parts - ends | {x[:-1] for x in ends}) - self.known.keys())
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
+        one = [x for x in plain if x[self.lead :].isalpha() and (self.drops_space or x[0] == " ")]
+        other = list(set(plain) - set(one))
+        for at in range(0, len(one), RUN):
+            some = one[at : at + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.edge[ids]) + (1 if self.drops_space else 0)
+            if len(cuts) != len(some):
+                other += some
+                continue
+            cuts, raw = (4 * cuts).tolist(), ids.tobytes()
+            cuts = [0, *cuts] if self.drops_space else [*cuts, len(raw)]
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
         for x in ends:
