@@ -110,8 +110,8 @@ def clone_pairs(rows: DataFrame, keys: list[str], id_col: str, text_col: str, bl
     """
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
     reps = rows.where(F.length(text_col) >= SHINGLE).groupBy(*keys, digest.alias("__digest")).agg(F.min_by(text_col, id_col).alias("t"), F.min(id_col).alias("id"))
-    blocks = reps.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    held = reps.join(blocks, keys).withColumn("own", F.expr("cast(pmod(xxhash64(id), k) as int)")).withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
+    blocks = reps.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__k"))
+    held = reps.join(blocks, keys).withColumn("own", F.expr("cast(pmod(xxhash64(id), __k) as int)")).withColumn("o", F.explode(F.expr("sequence(0, __k - 1)")))
     held = held.select(*keys, "id", "t", F.least("own", "o").alias("ba"), F.greatest("own", "o").alias("bb"), (F.col("own") > F.col("o")).alias("second"))
     # A block meets itself once.
     id_type = rows.schema[id_col].dataType.simpleString()

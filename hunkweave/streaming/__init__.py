@@ -1 +1 @@
-
+"""Streaming: the engine's operators are batch operators; none of them has a streaming form."""
