@@ -206,9 +206,9 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-copy documents as the two sides of a changed file."""
+    """Each document that has a similar earlier one, with the first of these, as the two sides of a changed file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = written(clone_pairs(spark, sf_dir), "pairs").select("src", "dst")
+    pairs = written(clone_pairs(spark, sf_dir).groupBy("dst").agg(F.min("src").alias("src")), "pairs")
     rows = pairs.join(docs.toDF("src", "left_content"), "src").join(docs.toDF("dst", "right_content"), "dst")
     path = F.concat(F.lit("src/main/java/D"), F.col("src").cast("string"), F.lit(".java"))
     return rows.select(F.col("dst").alias("case_id"), F.lit("MODIFY").alias("change_type"), path.alias("left_path"), path.alias("right_path"), "left_content", "right_content")
