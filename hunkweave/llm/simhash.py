@@ -292,7 +292,7 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
 #: such a pair with a probability of over 0.99 together.  Pairs of at most TIGHT bits are almost surely similar, so of them a
 #: spanning forest is enough; of those up to LOOSE bits each leaf's closest in every other tree.  All are verified by
 #: their shingles.
-WORDS64, TRIE_BITS, TRIE_ERRORS, TIGHT, LOOSE = 4, 24, 2, 24, 58
+WORDS64, TRIE_BITS, TRIE_ERRORS, TIGHT, LOOSE = 4, 24, 2, 24, 54
 
 
 def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
@@ -308,7 +308,7 @@ def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
 
 
 def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
-    """(a, b) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys()."""
+    """(a, b, sure, apart) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys()."""
     n = leaves.count()
     d = max(0, min(16, math.ceil(math.log2(max(1, n) / per_node))))
     masks = [0] + [sum(1 << b for b in c) for e in range(1, TRIE_ERRORS + 1) for c in combinations(range(d), e)]
@@ -327,13 +327,14 @@ def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
         _, lo, hi = (x.as_py() for x in key)
         raw, ids = t.column("fp").to_pylist(), t.column("low").to_numpy()
         fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
-        i, j, _ = traverse(t.column("key").to_numpy().view(np.uint64), fps, [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if lo == hi else t.column("second").to_numpy().astype(np.int64), TIGHT)
+        i, j, sure = traverse(t.column("key").to_numpy().view(np.uint64), fps, [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if lo == hi else t.column("second").to_numpy().astype(np.int64), TIGHT)
         a, b = ids[i], ids[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart})
 
     sent = leaves.select("low", "fp").mapInArrow(send, "trie int, lo long, hi long, second boolean, key long, low long, fp binary")
-    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long")
-    return found.select("a", "b").distinct()
+    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long, sure boolean, apart int")
+    return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float, id_col: str, text_col: str) -> DataFrame:
@@ -371,7 +372,17 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
     marks = written(fingerprints(known, width, WORDS64, id_col, text_col, with_set=True), "fingerprints")
     leaves = written(marks.groupBy("fp").agg(F.min(id_col).alias("low")), "leaves")
     found = written(candidate_links(leaves), "candidates")
-    roots = components(verified(found, known, width, similar, id_col, text_col))
+    judged = lambda pairs: written(verified(pairs, known, width, similar, id_col, text_col), "verified")
+    sure = judged(found.where("sure").select("a", "b"))
+    # What the sure links join needs no further link; a leaf needs one to each other tree, and the closest is the likeliest.
+    trees = components(sure)
+    apart = found.where("NOT sure")
+    for end in "ab":
+        apart = apart.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
+    apart = written(apart.where("ta <> tb"), "apart")
+    closest = [apart.groupBy(x, f"t{y}").agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
+    more = judged(closest[0].union(closest[1]).distinct())
+    roots = components(trees.toDF("a", "b").union(more))
     named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
 
