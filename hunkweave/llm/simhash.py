@@ -337,14 +337,21 @@ def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
     return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose documents' shingle sets, by 32 bits of each hash, have that similarity (Jaccard)."""
+def shingle_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): 32 bits of the hash of each distinct shingle, packed, of the documents with these ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "s"])
 
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle sets have that similarity (Jaccard)."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
@@ -354,12 +361,36 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float, id_c
                 near.append(both >= similar * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids, "id", "left_semi")
-    shingles = written(texts.mapInArrow(sets, "id long, s binary"), "shingles").dropDuplicates(["id"])
-    with_a = pairs.select("a", "b").join(shingles.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(shingles.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), "verified")
+
+
+#: Rounds in which every leaf has its closest candidate in another tree verified, before all that are left are.
+ROUNDS = 3
+
+
+def similar_trees(found: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of the components of the candidates (a, b, sure, apart) that are similar.
+
+    The sure ones are verified first, then each leaf's closest in another tree, a few times over: in a group of near copies
+    these join nearly all, so the candidates that are left between trees are few, though those within are as many as pairs.
+    """
+    links = verified(found.where("sure"), sets, similar)
+    trees = written(components(links), "trees")
+    left = found.where("NOT sure").select("a", "b", "apart")
+    for number in range(ROUNDS + 1):
+        for end in "ab":
+            left = left.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
+        left = written(left.where("ta <> tb"), "apart")
+        if left.isEmpty():
+            break
+        last = number == ROUNDS
+        ends = [left.groupBy(x, *([f"t{y}"] if last else [])).agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
+        tried = written(ends[0].union(ends[1]).distinct(), "tried")
+        links = trees.toDF("a", "b").union(verified(tried, sets, similar))
+        trees = written(components(links), "trees")
+        left = left.join(tried, ["a", "b"], "left_anti").select("a", "b", "apart")
+    return trees
 
 
 def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,17 +403,9 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
     marks = written(fingerprints(known, width, WORDS64, id_col, text_col, with_set=True), "fingerprints")
     leaves = written(marks.groupBy("fp").agg(F.min(id_col).alias("low")), "leaves")
     found = written(candidate_links(leaves), "candidates")
-    judged = lambda pairs: written(verified(pairs, known, width, similar, id_col, text_col), "verified")
-    sure = judged(found.where("sure").select("a", "b"))
-    # What the sure links join needs no further link; a leaf needs one to each other tree, and the closest is the likeliest.
-    trees = components(sure)
-    apart = found.where("NOT sure")
-    for end in "ab":
-        apart = apart.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
-    apart = written(apart.where("ta <> tb"), "apart")
-    closest = [apart.groupBy(x, f"t{y}").agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
-    more = judged(closest[0].union(closest[1]).distinct())
-    roots = components(trees.toDF("a", "b").union(more))
+    ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    sets = written(shingle_sets(ids, known, width, id_col, text_col), "shingles")
+    roots = similar_trees(found, sets, similar)
     named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
 
