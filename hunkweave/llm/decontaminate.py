@@ -77,7 +77,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
     starts = starts.where("a <= b AND (size >= 5 OR n = size)").select("doc_id", "n", "size", F.explode(F.sequence("a", "b")).alias("start")).distinct()
     spans = starts.groupBy("doc_id", "n", "size").agg(F.collect_list("start").alias("starts"))
 
-    held = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The number of hits grows with the corpus, so they are never broadcast, however few.
+    held = texts.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     # Written, lest each window's slice hash its whole document again.
     held = written(held.select("doc_id", words_of(F.col("t")).alias("w")).select("doc_id", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("hs")), "held")
     own = F.greatest(F.least("size", "n") - (WIDTH - 1), F.lit(1))
@@ -106,4 +107,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows without a leak, with all their columns; rows with a null id stay."""
     bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("__leak"), "left_anti")
+    return docs.join(bad.hint("merge"), docs[id_col].cast("long") == F.col("__leak"), "left_anti")

@@ -413,4 +413,4 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each group of near copies; rows with a null id stay."""
     copies = near_copies(docs, width, similar, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__copy"))
-    return docs.join(copies, docs[id_col].cast("long") == F.col("__copy"), "left_anti")
+    return docs.join(copies.hint("merge"), docs[id_col].cast("long") == F.col("__copy"), "left_anti")
