@@ -118,23 +118,28 @@ def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return which, at // nb[which], at % nb[which]
 
 
-def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, leaf_pairs: int = 24, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (i, j, sure) that span the components of the leaves under one or two trie nodes.
+def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, labels: np.ndarray | None = None, most: int = 0, leaf_pairs: int = 24, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j, sure, more) that span the components of the leaves under one or two trie nodes.
 
     keys: uint64, the trie's bit order from the highest bit; fps: uint64 rows for the whole Hamming distance.
     budgets[t]: errors allowed in the first t+1 bits.  start: depth of the two nodes.  sides: None for a node
     with itself, else which leaves belong to the second node.  tight: up to so many bits a link is sure; of the others
     within the radius those between sure components are returned as well, for each leaf and component the closest.
+    labels: components that hold already; then nothing is joined, and of each two components the ``most`` closest links
+    are returned.  more: an end of the link has other links that are left out because of that.
     """
     order = np.argsort(keys, kind="stable") if sides is None else np.lexsort((keys, sides))
     k, f = keys[order], fps[order]
     n, forest = len(k), Forest(len(k))
+    cut, limit = np.zeros(n, bool), 2_000_000
+    if labels is not None:
+        forest.label, tight = np.unique(labels[order], return_inverse=True)[1], -1
     na = n if sides is None else int(n - sides.sum())
     one, unsure = np.uint64(1), []
     err0 = 0 if sides is None or not start or not 0 < na < n else int(np.bitwise_count((k[0] ^ k[na]) >> np.uint64(64 - start)))
     first = (0, n, 0, n) if sides is None else (0, na, na, n)
     if first[0] >= first[1] or first[2] >= first[3]:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
     stack = [(start, np.array([first], np.int64), np.array([err0], np.int64))]
 
     def split(lo, hi, t):
@@ -149,6 +154,7 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
         return np.minimum(np.maximum(out, lo), hi)
 
     def compare(p):
+        nonlocal limit
         for at in range(0, len(p), 20_000):
             q = p[at : at + 20_000]
             w, x, y = _expand(q[:, 1] - q[:, 0], q[:, 3] - q[:, 2])
@@ -157,24 +163,29 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
             x, y = x[keep], y[keep]
             for s in range(0, len(x), 4_000_000):
                 xs, ys = x[s : s + 4_000_000], y[s : s + 4_000_000]
+                apart = forest.label[xs] != forest.label[ys]
+                xs, ys = xs[apart], ys[apart]
                 apart = np.bitwise_count(f[xs] ^ f[ys]).sum(axis=1, dtype=np.int64)
                 near = apart <= (radius if tight is None else tight)
                 forest.join(xs[near], ys[near])
                 if tight is not None:
                     maybe = ~near & (apart <= radius)
                     unsure.append((xs[maybe], ys[maybe], apart[maybe]))
-                    if sum(len(u[0]) for u in unsure) > 2_000_000:
+                    if sum(len(u[0]) for u in unsure) > limit:
                         unsure[:] = [closest()]
+                        limit = max(limit, 2 * len(unsure[0][0]))
 
     def closest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the unsure links the closest from each leaf to each other component."""
+        """Of the unsure links the closest from each leaf to each other component, or the ``most`` closest of two components."""
         x, y, apart = (np.concatenate(u) for u in zip(*unsure))
         lx, ly = forest.label[x], forest.label[y]
         x, y, apart, lx, ly = (v[lx != ly] for v in (x, y, apart, lx, ly))
         keep = np.zeros(len(x), bool)
-        for leaf, other in ((x, ly), (y, lx)):
-            at = np.lexsort((apart, other, leaf))
-            keep[at[np.concatenate(([True], (leaf[at][1:] != leaf[at][:-1]) | (other[at][1:] != other[at][:-1])))] if len(at) else at] = True
+        for one_end, other in ((x, ly), (y, lx)) if labels is None else ((np.minimum(lx, ly), np.maximum(lx, ly)),):
+            at = np.lexsort((apart, other, one_end))
+            new = np.flatnonzero(np.concatenate(([True], (one_end[at][1:] != one_end[at][:-1]) | (other[at][1:] != other[at][:-1])))) if len(at) else at
+            keep[at[np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))) < (1 if labels is None else most)]] = True
+        cut[x[~keep]] = cut[y[~keep]] = True
         return x[keep], y[keep], apart[keep]
 
     while stack:
@@ -213,7 +224,7 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
     if unsure:
         x, y, _ = closest()
         i, j, sure = np.concatenate((i, x)), np.concatenate((j, y)), np.concatenate((sure, np.zeros(len(x), bool)))
-    return order[i], order[j], sure
+    return order[i], order[j], sure, cut[i] | cut[j]
 
 
 def _tries(bits: int, radius: int) -> list[tuple[int, list[int]]]:
@@ -263,7 +274,7 @@ def links(fps: DataFrame, radius: int = 4, leaves: int = 16_384) -> DataFrame:
         trie, lo, hi, ba, bb = (x.as_py() for x in key)
         fp, order = t.column("fp").to_numpy(), t.column("key").to_numpy().view(np.uint64)
         same = (lo, ba) == (hi, bb)
-        i, j, _ = traverse(order, fp.view(np.uint64).reshape(-1, 1), tries[trie][1], radius, d, None if same else t.column("second").to_numpy().astype(np.int64))
+        i, j, *_ = traverse(order, fp.view(np.uint64).reshape(-1, 1), tries[trie][1], radius, d, None if same else t.column("second").to_numpy().astype(np.int64))
         return pa.table({"a": fp[i], "b": fp[j]})
 
     return pair.select("fp", "key", "second", *keys).groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
@@ -307,11 +318,15 @@ def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
-    """(a, b, sure, apart) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys()."""
+def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 300_000) -> DataFrame:
+    """(a, b, sure, apart, more) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys().
+
+    With columns ``label`` and ``main``, the ``most`` closest links of each two labels in each group; none between two main leaves.
+    """
     n = leaves.count()
     d = max(0, min(16, math.ceil(math.log2(max(1, n) / per_node))))
     masks = [0] + [sum(1 << b for b in c) for e in range(1, TRIE_ERRORS + 1) for c in combinations(range(d), e)]
+    known = ["label", "main"] if "label" in leaves.columns else []
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,20 +336,32 @@ def candidate_links(leaves: DataFrame, per_node: int = 300_000) -> DataFrame:
                 p = (key >> np.uint64(64 - d)).astype(np.int64) if d else np.zeros(len(raw), np.int64)
                 for m in masks:
                     q = p ^ m
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), trie), pa.int32()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(p > q), pa.array(key.view(np.int64)), b.column(0), b.column(1)], ["trie", "lo", "hi", "second", "key", "low", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), trie), pa.int32()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(p > q), pa.array(key.view(np.int64)), *b.columns], ["trie", "lo", "hi", "second", "key", "low", "fp", *known])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         _, lo, hi = (x.as_py() for x in key)
         raw, ids = t.column("fp").to_pylist(), t.column("low").to_numpy()
         fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
-        i, j, sure = traverse(t.column("key").to_numpy().view(np.uint64), fps, [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if lo == hi else t.column("second").to_numpy().astype(np.int64), TIGHT)
+        keys, second = t.column("key").to_numpy().view(np.uint64), None if lo == hi else t.column("second").to_numpy()
+        if known:
+            # All pairs but those of two main leaves, which are many and of one label.
+            labels, main = t.column("label").to_numpy(), t.column("main").to_numpy()
+            parts = [(~main, None), (main | True, main)] if second is None else [(~main | second, second), (main ^ second, second)]
+        else:
+            labels, parts = None, [(np.ones(len(ids), bool), second)]
+        out = []
+        for part, sides in parts:
+            at = np.flatnonzero(part)
+            i, j, sure, more = traverse(keys[at], fps[at], [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if sides is None else sides[at].astype(np.int64), TIGHT, None if labels is None else labels[at], most)
+            out.append((at[i], at[j], sure, more))
+        i, j, sure, more = (np.concatenate(x) for x in zip(*out))
         a, b = ids[i], ids[j]
         apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart, "more": more})
 
-    sent = leaves.select("low", "fp").mapInArrow(send, "trie int, lo long, hi long, second boolean, key long, low long, fp binary")
-    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long, sure boolean, apart int")
-    return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"))
+    sent = leaves.select("low", "fp", *known).mapInArrow(send, "trie int, lo long, hi long, second boolean, key long, low long, fp binary" + (", label long, main boolean" if known else ""))
+    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long, sure boolean, apart int, more boolean")
+    return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -369,30 +396,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 ROUNDS = 3
 
 
-def similar_trees(found: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(node, root) of the components of the candidates (a, b, sure, apart) that are similar.
+def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: DataFrame | None = None, tried: list[DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the components of the candidates (a, b, sure, apart) that are similar, and of ``trees``.
 
-    The sure ones are verified first, then each leaf's closest in another tree, a few times over: in a group of near copies
-    these join nearly all, so the candidates that are left between trees are few, though those within are as many as pairs.
+    The sure ones are verified first, then each leaf's closest in another tree, a few times over, then every one that is left
+    between two trees: in a group of near copies the first rounds join nearly all, so few are left.
+    tried: gets the pairs that were verified; those in it are not verified again.
     """
-    links = verified(found.where("sure"), sets, similar)
-    trees = written(components(links), "trees")
-    left = found.where("NOT sure").select("a", "b", "apart")
+    tried = [] if tried is None else tried
+    left = found.select("a", "b", "sure", "apart")
+    for x in tried:
+        left = left.join(x.hint("merge"), ["a", "b"], "left_anti")
+    left = written(left, "apart")
+    sure = left.where("sure").select("a", "b")
+    if trees is None or not sure.isEmpty():
+        links = verified(sure, sets, similar)
+        trees = written(components(links if trees is None else links.union(trees.toDF("a", "b"))), "trees")
+        tried.append(sure)
+    left = left.where("NOT sure").select("a", "b", "apart")
     for number in range(ROUNDS + 1):
         for end in "ab":
             left = left.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
         left = written(left.where("ta <> tb"), "apart")
         if left.isEmpty():
             break
-        last = number == ROUNDS
-        ends = [left.groupBy(x, *([f"t{y}"] if last else [])).agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
-        tried = written(ends[0].union(ends[1]).distinct(), "tried")
-        links = trees.toDF("a", "b").union(verified(tried, sets, similar))
-        trees = written(components(links), "trees")
-        left = left.join(tried, ["a", "b"], "left_anti").select("a", "b", "apart")
+        if number == ROUNDS:
+            now = left.select("a", "b")
+        else:
+            ends = [left.groupBy(x).agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
+            now = written(ends[0].union(ends[1]).distinct(), "tried")
+        tried.append(now)
+        trees = written(components(trees.toDF("a", "b").union(verified(now, sets, similar))), "trees")
+        left = left.join(now, ["a", "b"], "left_anti").select("a", "b", "apart")
     return trees
 
 
+#: How many links of two components are verified when an unsettled group is searched again; each time after that STEP times as many.
+AGAIN, STEP = 64, 16
+
+
+def unsettled(leaves: DataFrame, regions: DataFrame, found: DataFrame, trees: DataFrame) -> DataFrame:
+    """(low, fp, label, main): the leaves of regions (node, root) of candidates in which some were left out and more than one tree is.
+
+    label: the leaf's tree; main: it is the region's largest.
+    """
+    cut = found.where("more").join(regions, F.col("a") == F.col("node")).select(F.col("root").alias("region")).distinct()
+    held = regions.select(F.col("node").alias("low"), F.col("root").alias("region")).join(cut, "region", "left_semi")
+    held = held.join(trees.toDF("low", "label"), "low", "left").withColumn("label", F.coalesce("label", "low"))
+    sizes = held.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = held.join(sizes, "region").select("low", "label", (F.col("label") == F.col("largest")).alias("main"))
+    return written(leaves.join(held, "low").select("low", "fp", "label", "main"), "unsettled")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): groups of documents that links of at least that similarity connect; component_id is the smallest id.
 
@@ -405,7 +460,13 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
     found = written(candidate_links(leaves), "candidates")
     ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
     sets = written(shingle_sets(ids, known, width, id_col, text_col), "shingles")
-    roots = similar_trees(found, sets, similar)
+    tried: list[DataFrame] = []
+    roots, most = similar_trees(found, sets, similar, tried=tried), AGAIN
+    # Every candidate, also one left out, has both ends in one region.
+    regions = written(components(found), "regions")
+    while not (again := unsettled(leaves, regions, found, roots)).isEmpty():
+        found = written(candidate_links(again, most), "candidates")
+        roots, most = similar_trees(found, sets, similar, roots, tried), most * STEP
     named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
 
