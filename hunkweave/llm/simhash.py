@@ -67,11 +67,14 @@ def fingerprint(hashes: np.ndarray, n_words64: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, n_words64: int = 1, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False) -> DataFrame:
-    """(id, fp binary) for every row; null and empty texts have the zero fingerprint.  with_set: 8 bytes more tell sets of shingles apart."""
+    """(id, fp binary) for every row; null and empty texts have the zero fingerprint.  with_set: of the distinct shingles, and 8 bytes more tell their sets apart."""
 
     def mark(text: bytes | None) -> bytes:
         h = shingle_hashes(text, width)
-        return fingerprint(h, n_words64) + (xxhash.xxh64_digest(np.unique(h).tobytes()) if with_set else b"")
+        if not with_set:
+            return fingerprint(h, n_words64)
+        h = np.unique(h)
+        return fingerprint(h, n_words64) + xxhash.xxh64_digest(h.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

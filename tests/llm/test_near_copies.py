@@ -17,3 +17,12 @@ def test_candidates_far_from_the_closest_are_verified(spark):
     found = spark.createDataFrame(sure + rest, "a long, b long, sure boolean, apart int")
     got = {r.node: r.root for r in simhash.similar_trees(found, sets, 0.8).collect()}
     assert got == dict.fromkeys(windows, 0)
+
+
+def test_copies_that_repeat_a_line_are_found(spark):
+    r = np.random.default_rng(7)
+    own = [f"w{x}" for x in r.integers(0, 10**6, 504)]
+    line = own[100:110]
+    rows = [(n, " ".join(own[:110] + line * n + own[110:])) for n in (0, 10, 100)] + [(7, " ".join(own[250:] + line * 100))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 10: 0, 100: 0, 7: 7}
