@@ -129,7 +129,7 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
     with itself, else which leaves belong to the second node.  tight: up to so many bits a link is sure; of the others
     within the radius those between sure components are returned as well, for each leaf and component the closest.
     labels: components that hold already; then nothing is joined, and of each two components the ``most`` closest links
-    are returned.  more: an end of the link has other links that are left out because of that.
+    are returned.  more: an end of the link has other links that are left out because of that or of what was joined.
     """
     order = np.argsort(keys, kind="stable") if sides is None else np.lexsort((keys, sides))
     k, f = keys[order], fps[order]
@@ -224,6 +224,9 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
             stack.append((t + 1, q, e))
     i, j = (np.concatenate(x) for x in zip(*forest.links)) if forest.links else (np.empty(0, np.int64), np.empty(0, np.int64))
     sure = np.ones(len(i), bool)
+    if tight is not None and labels is None:
+        # Pairs inside what was joined were skipped, and a sure link may yet prove wrong.
+        cut |= np.bincount(forest.label, minlength=n)[forest.label] > 2
     if unsure:
         x, y, _ = closest()
         i, j, sure = np.concatenate((i, x)), np.concatenate((j, y)), np.concatenate((sure, np.zeros(len(x), bool)))

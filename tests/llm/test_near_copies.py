@@ -26,3 +26,13 @@ def test_copies_that_repeat_a_line_are_found(spark):
     rows = [(n, " ".join(own[:110] + line * n + own[110:])) for n in (0, 10, 100)] + [(7, " ".join(own[250:] + line * 100))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 10: 0, 100: 0, 7: 7}
+
+
+def test_pairs_behind_false_sure_links_are_verified(spark, monkeypatch):
+    # All fingerprints are within TIGHT bits of each other, so the first search returns trees of them; only 17 and 29 are similar.
+    rows = [(i, " ".join(f"d{17 if i == 29 else i}w{k}" for k in range(50)) + (" end" if i == 29 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i.to_bytes(32, "big") + bytes([i] * 8)) for i in range(40)], "doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: marks)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: 17 if i == 29 else i for i in range(40)}
