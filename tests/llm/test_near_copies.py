@@ -36,3 +36,8 @@ def test_pairs_behind_false_sure_links_are_verified(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: marks)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == {i: 17 if i == 29 else i for i in range(40)}
+
+
+def test_pairs_58_bits_apart_are_proposed(spark):
+    marks = spark.createDataFrame([(0, bytes(40)), (1, bytes(24) + b"\xff" * 7 + b"\xc0" + b"\x01" * 8)], "low long, fp binary")
+    assert [(r.a, r.b, r.apart) for r in simhash.candidate_links(marks).collect()] == [(0, 1, 58)]
