@@ -52,6 +52,20 @@ def size_in_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, bad: DataFrame, id_col: str) -> DataFrame:
+    """The rows, with all their columns, whose id (as long) isn't in the one column of ``bad``; rows with a null id stay."""
+    own = fresh(df, "own_id")
+    return df.join(bad.toDF(own).hint("merge"), df[id_col].cast("long") == F.col(own), "left_anti")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, A_TO_Z, SMALL_A_TO_Z)
 
