@@ -41,10 +41,11 @@ class Packer:
         self.next_id += 1
 
     def add(self, doc: int | None, start: int, ids: bytes, total: int) -> None:
-        full = 4 * self.length
-        while len(ids) >= full:
-            self.emit([(doc, start, ids[:full], total)])
-            start, ids = start + self.length, ids[full:]
+        full, at = 4 * self.length, 0
+        while len(ids) - at >= full:
+            self.emit([(doc, start, ids[at : at + full], total)])
+            start, at = start + self.length, at + full
+        ids = ids[at:]
         while ids:
             fits = [w for w in self.open if w[0] + len(ids) <= full]
             if fits:

@@ -23,8 +23,8 @@ from .common import new_path, size_in_bytes, written
 
 MAGIC = b"WVMX\x01\0\0\0"
 BLOCK = 512
-#: Bytes of input files for each shard.
-SHARD_BYTES = 5 << 20
+#: Bytes of input for each shard.
+SHARD_BYTES = 32 << 20
 
 
 def _planes(ids: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -140,12 +140,13 @@ def write(docs: DataFrame, tokenizer: str, end: int = tokens.END, id_col: str =
     """Writes a file for each shard to the shared folder; the manifest (shard, path, n_docs, n_tokens).
 
     Shards are ranges of the id, in ascending order; null ids come first; rows that share an id are in the order of
-    their texts' hashes.  A null text counts as empty and still has the end id.
+    their texts' hashes, and many of them may spread over shards.  A null text counts as empty and still has the end id;
+    an empty table gives no file; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "wavelet")
     stop = end.to_bytes(4, "little")
-    shards = max(4, size_in_bytes(docs) // shard_bytes)
+    shards = max(4, size_in_bytes(docs, text_col) // shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, doc_ids, lengths, held = TaskContext.get().partitionId(), [], [], []
@@ -155,20 +156,23 @@ def write(docs: DataFrame, tokenizer: str, end: int = tokens.END, id_col: str =
                 for ids in tokens.encoder(tokenizer).ids_of(b.column(1).slice(at, 500).to_pylist()):
                     lengths.append(len(ids) // 4 + 1)
                     held += [ids, stop]
-            held = [np.frombuffer(b"".join(held), "<u4").astype(np.uint32).tobytes()]
+            held = [b"".join(held)]
         if doc_ids:
             path = f"{folder}/{shard:08d}-{TaskContext.get().taskAttemptId()}.wvm"
             with files.new_file(path) as out:
                 out.write(encode(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4")))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [sum(lengths)]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    ordered = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h").select("id", "t")
     return written(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files.  start: tokens of all documents before it."""
+    """(id, start, n_tokens, ids_crc32) of every document, from the files.  start: tokens of all documents before it.
+
+    A document with a null id or text has its row like any; a manifest without files gives none.
+    """
     # One row a shard: the window holds as many rows as there are files.
     before = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
