@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none is one set, which happens in local tests."""
+    """The cluster's shared folder; only a local session that names none, as in tests, gets one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -34,22 +36,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Drops a table made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/".join(path.split("/")[-2:-1]) in shared_dir(spark):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input; for files their size on disk.  0 if it knows none."""
+def size_in_bytes(df: DataFrame, text_col: str) -> int:
+    """The optimizer's estimate of the input, for files their size on disk; if it knows none, the bytes of the texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    return size if size < 1 << 60 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def fresh(df: DataFrame, name: str) -> str:

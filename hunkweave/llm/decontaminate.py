@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, without, written
 
 WIDTH, SIMILAR, RADIUS = 5, 0.8, 24
 #: Up to so many distinct shingles of items go to every task; more are joined by a shuffle.
@@ -105,6 +105,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows without a leak, with all their columns; rows with a null id stay."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad.hint("merge"), docs[id_col].cast("long") == F.col("__leak"), "left_anti")
+    """The rows without a leak, with all their columns; rows with a null id or text stay; rows that share an id stay or go together."""
+    return without(docs, leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), id_col)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, without, written
 
 SEED = 42
 
@@ -478,6 +478,8 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of one document of each group of near copies; rows with a null id stay."""
-    copies = near_copies(docs, width, similar, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__copy"))
-    return docs.join(copies.hint("merge"), docs[id_col].cast("long") == F.col("__copy"), "left_anti")
+    """The rows, with all their columns, of one document of each group of near copies: that with the smallest id.
+
+    Of null and empty texts, which are copies, one stays; rows with a null id stay; rows that share an id stay or go together.
+    """
+    return without(docs, near_copies(docs, width, similar, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)

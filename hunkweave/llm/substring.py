@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_in_bytes
+from .common import fresh, size_in_bytes
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose windows are merged on the map side at once, and bytes of input files for each bucket.
@@ -103,7 +103,7 @@ def _merge_batch(docs: list[tuple[int, np.ndarray]], n_buckets: int, window: int
 
 def repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, h binary, spans binary): the repeated windows of each document by hash, or as word intervals."""
-    n_buckets = max(LEAST_BUCKETS, size_in_bytes(docs) // BUCKET_BYTES)
+    n_buckets = max(LEAST_BUCKETS, size_in_bytes(docs, text_col) // BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -155,9 +155,11 @@ def removed_words(words: list[bytes], hits: list[dict] | None, window: int) -> n
     return np.cumsum(gone[:-1]) > 0
 
 
-def _with_hits(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    hits = repeats(docs, window, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("h", "spans")).alias("__hits")).withColumnRenamed("doc", "__doc")
-    return docs.join(hits, F.col(id_col).cast("long") == F.col("__doc"), "left")
+def _with_hits(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with one more column, whose name is returned: their hits."""
+    name, own = fresh(docs, "hits"), fresh(docs, "hits_of")
+    hits = repeats(docs, window, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("h", "spans")).alias(name)).withColumnRenamed("doc", own)
+    return docs.join(hits, docs[id_col].cast("long") == F.col(own), "left").drop(own), name
 
 
 def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,8 +183,8 @@ def digests(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_hits(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias(text_col)), window, id_col, text_col)
-    return joined.select(id_col, text_col, "__hits").mapInArrow(run, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
+    joined, name = _with_hits(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias(text_col)), window, id_col, text_col)
+    return joined.select(id_col, text_col, name).mapInArrow(run, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: bytes, hits: list[dict] | None, window: int) -> bytes:
@@ -202,12 +204,17 @@ def cut_text(text: bytes, hits: list[dict] | None, window: int) -> bytes:
 
 
 def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with all their columns, repeated intervals cut from the text."""
+    """The rows with all their columns, repeated intervals cut from the text.
+
+    Null texts stay null, and a text that is all removed is empty; a row with a null id keeps its text; rows that share an id
+    lose the same windows to smaller ids only; an empty table gives none.
+    """
+    joined, name = _with_hits(docs, window, id_col, text_col)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else cut_text(t.encode(), hits.as_py(), window).decode() for t, hits in zip(b.column(text_col).to_pylist(), b.column("__hits"))]
+            texts = [None if t is None else cut_text(t.encode(), hits.as_py(), window).decode() for t, hits in zip(b.column(text_col).to_pylist(), b.column(name))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(text_col).type) if c == text_col else b.column(c) for c in names], names)
 
-    return _with_hits(docs, window, id_col, text_col).select(*names, "__hits").mapInArrow(run, schema)
+    return joined.select(*names, name).mapInArrow(run, schema)

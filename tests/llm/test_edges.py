@@ -28,7 +28,7 @@ TEXTS = [
 def docs(spark):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in TEXTS]
     # Columns whose names the operators use inside.
-    names = ("h", "fp", "t", "key", "score", "spans", "w", "n", "hs", "id", "batch")
+    names = ("h", "fp", "t", "key", "score", "spans", "w", "n", "hs", "id", "batch", "hits", "hits_of", "own_id", "component_id", "number", "toxic")
     out = spark.createDataFrame(rows, SCHEMA)
     for c in names:
         out = out.withColumn(c, F.lit("clash"))
@@ -148,11 +148,10 @@ def test_suffix_tree_next_tokens_sum_to_one(spark):
 
 
 def library(name):
+    """The library as it comes."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -161,7 +160,7 @@ def test_cut_texts_have_the_librarys_ids(name):
 
     random.seed(3)
     plain, own = library(name), tokens.Encoder(queries.tokenizer_path(name))
-    bits = ["word", " thing,", " Étre", "ß.", "a", "'s", " ", "  ", "\n", "\n\n", "\t", " ", "é", "é", "́", "123", "<|endoftext|>", "!", "--", "\x1c", "　", "中", "😀", "ΑΣ", "'", "\r", "ſ", "İ"]
+    bits = ["word", " thing,", " Étre", "ß.", "a", "'s", " ", "  ", "\n", "\n\n", "\t", " ", "é", "é", "́", "123", "<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", "!", ",", ".", "İ,", "é,", "÷.", "×,", "Ñ.", "ª.", "\x85", "\u200b", "--", "\x1c", "　", "中", "😀", "ΑΣ", "'", "\r", "ſ", "İ"]
     texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 14))) for _ in range(3000)] + [t for _, t in TEXTS if t]
     for t, ids in zip(texts, own.ids_of(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
@@ -170,22 +169,30 @@ def test_cut_texts_have_the_librarys_ids(name):
 
 def test_packing_covers_each_id_once_without_padding(docs, none, spark):
     plain = library("byte_bpe_50k.json")
+    extra = [(20, "before <|endoftext|> after"), (21, " ".join(f"long{i}" for i in range(30_000)))]
+    some = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in extra], SCHEMA), allowMissingColumns=True)
+    want = Counter((i, tuple(plain.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in [*TEXTS, *extra])
     for parts in (1, 5):
-        got = packing.pack(docs.repartition(parts), queries.tokenizer_path("byte_bpe_50k.json"), length=64, windows=3, keep_ids=True).collect()
-        want = Counter(tuple(plain.encode(t or "", add_special_tokens=False).ids + [1]) for _, t in TEXTS)
-        by = {}
+        got = packing.pack(some.repartition(parts), queries.tokenizer_path("byte_bpe_50k.json"), length=64, windows=3, keep_ids=True).collect()
+        pieces, sequences = {}, {}
         for r in got:
-            by.setdefault((r.doc_id, r.doc_tokens), []).append(r)
-            assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
-        assert sum(r.length for r in got) == sum(len(k) * n for k, n in want.items())
-        for (doc, total), rows in by.items():
-            copies = sum(i == doc and len(plain.encode(t or "", add_special_tokens=False).ids) + 1 == total for i, t in TEXTS)
-            assert sum(r.length for r in rows) == copies * total
-        for s in {r.sequence_id for r in got}:
+            assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length > 0
+            pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for (doc, total), rows in pieces.items():
+            whole = [k for k in want if k[0] == doc and len(k[1]) == total]
+            assert len(whole) == 1  # here no two texts of an id have as many tokens
+            covered = Counter()
+            for r in rows:
+                assert np.frombuffer(r.ids, "<u4").tolist() == list(whole[0][1][r.start : r.start + r.length])
+                covered.update(range(r.start, r.start + r.length))
+            assert covered == Counter(dict.fromkeys(range(total), want[whole[0]]))
+        assert set(pieces) == {(doc, len(ids)) for doc, ids in want}
+        for own in sequences.values():
             at = 0
-            for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
-                assert r.offset == at
-                at += r.length
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
             assert at <= 64 and at & (at - 1) == 0
     assert packing.pack(none, queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
