@@ -28,7 +28,7 @@ def first_last(rows: DataFrame, keys: list[str], order: list[str], value: str) -
 
 
 def is_continuation(parents: Column, before: Column) -> Column:
-    """A commit's only parent is the commit before it."""
+    """A commit's only parent is the commit before it; a null list of parents: not."""
     return (F.size(parents) == 1) & (F.get(parents, 0) == before)
 
 
@@ -69,8 +69,8 @@ def greedy_segments(rows: DataFrame, keys: list[str], order: list[str], carry: l
 
 
 class MinerChain(Chain):
-    """The commit miner's limits: a chain has at most ``steps`` diffs, each by a commit whose only parent is the one before
-    and which changes few files, all of them apart from those that the chain's commits moved away."""
+    """The commit miner's limits: a chain has at most ``steps`` diffs, each by a commit whose only parent is the one before,
+    which changes few files in few hunks each and none that an earlier commit of the chain had under its other name."""
 
     def __init__(self, steps: int = 5, files: int = 3, hunks: int = 5):
         self.steps, self.files, self.hunks = steps, files, hunks
@@ -85,12 +85,11 @@ class MinerChain(Chain):
         if any(d["n_hunks"] > self.hunks for d in diffs):
             return False
         valid = [d for d in diffs if d["valid"]]
-        if not valid or any(d["a_path"] in self.new or d["b_path"] in self.old for d in valid):
+        # An added file has no old path and a deleted one no new path; what isn't there clashes with nothing.
+        old, new = ({d[k] for d in valid} - {None, ""} for k in ("a_path", "b_path"))
+        if not valid or old & self.new or new & self.old or max(len(old), len(new)) > self.files:
             return False
-        old, new = self.old | {d["a_path"] for d in valid}, self.new | {d["b_path"] for d in valid}
-        if max(len(old), len(new)) > self.files:
-            return False
-        self.n, self.last, self.old, self.new = self.n + 1, row["sha"], old, new
+        self.n, self.last, self.old, self.new = self.n + 1, row["sha"], self.old | old, self.new | new
         return True
 
 

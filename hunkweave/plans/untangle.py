@@ -72,12 +72,13 @@ def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans
     nodes = written(parse_files(files), "syntax")
     failed = nodes.where("kind = 'Failed'").groupBy("case_id").agg(F.min(F.concat("path", F.lit(": "), "error")).alias("error"))
     program = Program(nodes)
-    edges = program.edges()
+    edges = written(program.edges(), "edges")
     where = program.nodes.select("case_id", "side", "path", F.col("key").alias("node_id"), "b", "e")
     marks = spans.select("case_id", "side", "path", "patch_id", F.col("b").alias("sb"), F.col("e").alias("se"))
-    # Of nodes within each other only those without children in the way matter; a whole unit or type covers by its name.
-    small = where.join(program.nodes.where("kind NOT IN ('CompilationUnit', 'Block')").select(F.col("key").alias("node_id")), "node_id", "left_semi")
-    cover = written(joins.span_join(small, marks, ["case_id", "side", "path"]).select("case_id", "side", "node_id", "patch_id").distinct(), "cover")
+    # Only nodes that an edge has can tie hunks.
+    ends = edges.select("case_id", "side", F.col("src_id").alias("node_id")).union(edges.select("case_id", "side", "dst_id")).distinct()
+    tied = where.join(ends, ["case_id", "side", "node_id"], "left_semi")
+    cover = written(joins.span_join(tied, marks, ["case_id", "side", "path"]).select("case_id", "side", "node_id", "patch_id").distinct(), "cover")
     depend = joins.cover_lift(cover, edges.select("case_id", "src_id", "dst_id")).withColumn("etype", F.lit("DEPEND"))
     trivial = joins.trivial_hunks(regions, spans, CASE)
     sided = patches.select("case_id", "patch_id", F.coalesce("right.path", "left.path").alias("path"))
