@@ -127,7 +127,7 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
     keys: uint64, the trie's bit order from the highest bit; fps: uint64 rows for the whole Hamming distance.
     budgets[t]: errors allowed in the first t+1 bits.  start: depth of the two nodes.  sides: None for a node
     with itself, else which leaves belong to the second node.  tight: up to so many bits a link is sure; of the others
-    within the radius those between sure components are returned as well, for each leaf and component the closest.
+    within the radius those between sure components are returned as well, for each leaf the CLOSEST ones.
     labels: components that hold already; then nothing is joined, and of each two components the ``most`` closest links
     are returned.  more: an end of the link has other links that are left out because of that or of what was joined.
     """
@@ -179,15 +179,26 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
                         limit = max(limit, 2 * len(unsure[0][0]))
 
     def closest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the unsure links the closest from each leaf to each other component, or the ``most`` closest of two components."""
+        """Of the unsure links between components the closest of each leaf, or the ``most`` closest of two components."""
         x, y, apart = (np.concatenate(u) for u in zip(*unsure))
         lx, ly = forest.label[x], forest.label[y]
         x, y, apart, lx, ly = (v[lx != ly] for v in (x, y, apart, lx, ly))
         keep = np.zeros(len(x), bool)
-        for one_end, other in ((x, ly), (y, lx)) if labels is None else ((np.minimum(lx, ly), np.maximum(lx, ly)),):
-            at = np.lexsort((apart, other, one_end))
-            new = np.flatnonzero(np.concatenate(([True], (one_end[at][1:] != one_end[at][:-1]) | (other[at][1:] != other[at][:-1])))) if len(at) else at
-            keep[at[np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))) < (1 if labels is None else most)]] = True
+
+        def first(groups: list[np.ndarray], n: int) -> None:
+            at = np.lexsort((apart, *groups))
+            new = np.zeros(len(at), bool)
+            new[:1] = True
+            for g in groups:
+                new[1:] |= g[at][1:] != g[at][:-1]
+            begin = np.flatnonzero(new)
+            keep[at[np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at)))) < n]] = True
+
+        if labels is None:
+            first([x], CLOSEST)
+            first([y], CLOSEST)
+        else:
+            first([np.minimum(lx, ly), np.maximum(lx, ly)], most)
         cut[x[~keep]] = cut[y[~keep]] = True
         return x[keep], y[keep], apart[keep]
 
@@ -312,6 +323,11 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
 WORDS64, TRIE_BITS, TRIE_ERRORS, TIGHT, LOOSE = 4, 24, 2, 24, 58
 
 
+#: Of the links that are not sure a search returns so many of each leaf, the closest; what it leaves out is searched for again
+#: once these are verified.
+CLOSEST = 6
+
+
 def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
     """The leading bits of each trie: runs of the fingerprint's bits in two orders."""
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
@@ -324,31 +340,61 @@ def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 300_000) -> DataFrame:
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
+
+
+def _blocks(leaves: DataFrame, d: int, per_node: int) -> np.ndarray:
+    """Into how many blocks each node of depth d of each trie is cut: more than one where it holds over twice per_node leaves."""
+    tries = 2 * (64 * WORDS64 // TRIE_BITS)
+    out = np.ones((tries, 1 << d), np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((tries, 1 << d), np.int64)
+        for b in batches:
+            for trie, key in enumerate(_led_keys(_unpacked(b.column(0).to_pylist()))):
+                n[trie] += np.bincount((key >> np.uint64(64 - d)).astype(np.int64), minlength=1 << d) if d else len(key)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], ["node", "n"])
+
+    heavy = leaves.select("fp").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * per_node)
+    for r in heavy.collect():  # at most as many rows as nodes, of which there are leaves / per_node in each trie
+        out.ravel()[r.node] = math.ceil(r.n / per_node)
+    return out
+
+
+def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -> DataFrame:
     """(a, b, sure, apart, more) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys().
 
     With columns ``label`` and ``main``, the ``most`` closest links of each two labels in each group; none between two main leaves.
+    A group is a pair of nodes, or of blocks of these where a node holds far more than ``per_node`` leaves.
     """
     n = leaves.count()
     d = max(0, min(16, math.ceil(math.log2(max(1, n) / per_node))))
     masks = [0] + [sum(1 << b for b in c) for e in range(1, TRIE_ERRORS + 1) for c in combinations(range(d), e)]
     known = ["label", "main"] if "label" in leaves.columns else []
+    cuts = _blocks(leaves, d, per_node)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(1).to_pylist()
-            fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
-            for trie, key in enumerate(_led_keys(fps)):
-                p = (key >> np.uint64(64 - d)).astype(np.int64) if d else np.zeros(len(raw), np.int64)
+            low = b.column(0).to_numpy()
+            mixed = _mixed(low.view(np.uint64), 1)
+            for trie, key in enumerate(_led_keys(_unpacked(b.column(1).to_pylist()))):
+                p = (key >> np.uint64(64 - d)).astype(np.int64) if d else np.zeros(len(low), np.int64)
+                own = (mixed % cuts[trie, p].astype(np.uint64)).astype(np.int64)
                 for m in masks:
                     q = p ^ m
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), trie), pa.int32()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(p > q), pa.array(key.view(np.int64)), *b.columns], ["trie", "lo", "hi", "second", "key", "low", "fp", *known])
+                    for o in range(int(cuts[trie, q].max(initial=0))):
+                        # Of a node with itself each pair of blocks is one group; of two nodes the lower has the first block.
+                        second = own > o if not m else p > q
+                        at = pa.array(o < cuts[trie, q])
+                        rows = [pa.array(np.full(len(low), trie), pa.int32()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.where(second, o, own)), pa.array(np.where(second, own, o)), pa.array(second), pa.array(key.view(np.int64)), *b.columns]
+                        yield pa.RecordBatch.from_arrays(rows, [*keys, "second", "key", "low", "fp", *known]).filter(at)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        _, lo, hi = (x.as_py() for x in key)
-        raw, ids = t.column("fp").to_pylist(), t.column("low").to_numpy()
-        fps = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
-        keys, second = t.column("key").to_numpy().view(np.uint64), None if lo == hi else t.column("second").to_numpy()
+        _, lo, hi, ba, bb = (x.as_py() for x in key)
+        ids, fps = t.column("low").to_numpy(), _unpacked(t.column("fp").to_pylist())
+        order, second = t.column("key").to_numpy().view(np.uint64), None if (lo, ba) == (hi, bb) else t.column("second").to_numpy()
         if known:
             # All pairs but those of two main leaves, which are many and of one label.
             labels, main = t.column("label").to_numpy(), t.column("main").to_numpy()
@@ -358,15 +404,16 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 300_000) -
         out = []
         for part, sides in parts:
             at = np.flatnonzero(part)
-            i, j, sure, more = traverse(keys[at], fps[at], [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if sides is None else sides[at].astype(np.int64), TIGHT, None if labels is None else labels[at], most)
+            i, j, sure, more = traverse(order[at], fps[at], [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if sides is None else sides[at].astype(np.int64), TIGHT, None if labels is None else labels[at], most)
             out.append((at[i], at[j], sure, more))
         i, j, sure, more = (np.concatenate(x) for x in zip(*out))
         a, b = ids[i], ids[j]
         apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart, "more": more})
 
-    sent = leaves.select("low", "fp", *known).mapInArrow(send, "trie int, lo long, hi long, second boolean, key long, low long, fp binary" + (", label long, main boolean" if known else ""))
-    found = sent.groupBy("trie", "lo", "hi").applyInArrow(run, "a long, b long, sure boolean, apart int, more boolean")
+    keys = ["trie", "lo", "hi", "ba", "bb"]
+    sent = leaves.select("low", "fp", *known).mapInArrow(send, "trie int, lo long, hi long, ba long, bb long, second boolean, key long, low long, fp binary" + (", label long, main boolean" if known else ""))
+    found = sent.groupBy(*keys).applyInArrow(run, "a long, b long, sure boolean, apart int, more boolean")
     return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
 
 
@@ -402,12 +449,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 ROUNDS = 3
 
 
-def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: DataFrame | None = None, tried: list[DataFrame] | None = None) -> DataFrame:
+def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: DataFrame | None = None, tried: list[DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the components of the candidates (a, b, sure, apart) that are similar, and of ``trees``.
 
     The sure ones are verified first, then each leaf's closest in another tree, a few times over, then every one that is left
     between two trees: in a group of near copies the first rounds join nearly all, so few are left.
-    tried: gets the pairs that were verified; those in it are not verified again.
+    tried: gets the pairs that were verified; those in it are not verified again.  rounds: of closest ones before all the rest.
     """
     tried = [] if tried is None else tried
     left = found.select("a", "b", "sure", "apart")
@@ -420,19 +467,21 @@ def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: Data
         trees = written(components(links if trees is None else links.union(trees.toDF("a", "b"))), "trees")
         tried.append(sure)
     left = left.where("NOT sure").select("a", "b", "apart")
-    for number in range(ROUNDS + 1):
+    for number in range(rounds + 1):
         for end in "ab":
             left = left.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
         left = written(left.where("ta <> tb"), "apart")
         if left.isEmpty():
             break
-        if number == ROUNDS:
+        if number == rounds:
             now = left.select("a", "b")
         else:
             ends = [left.groupBy(x).agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
             now = written(ends[0].union(ends[1]).distinct(), "tried")
         tried.append(now)
-        trees = written(components(trees.toDF("a", "b").union(verified(now, sets, similar))), "trees")
+        links = verified(now, sets, similar)
+        if not links.isEmpty():
+            trees = written(components(trees.toDF("a", "b").union(links)), "trees")
         left = left.join(now, ["a", "b"], "left_anti").select("a", "b", "apart")
     return trees
 
@@ -472,7 +521,7 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
     regions = written(components(found), "regions")
     while not (again := unsettled(leaves, regions, found, roots)).isEmpty():
         found = written(candidate_links(again, most), "candidates")
-        roots, most = similar_trees(found, sets, similar, roots, tried), most * STEP
+        roots, most = similar_trees(found, sets, similar, roots, tried, 0), most * STEP
     named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
 
