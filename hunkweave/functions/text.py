@@ -85,9 +85,17 @@ def hunk_count(patch: Column) -> Column:
     return F.size(F.filter(F.split(patch, "\n"), lambda line: line.startswith("@@")))
 
 
-def node_label(kind: Column, name: Column, type_name: Column) -> Column:
-    """How a declaration is shown in a graph."""
-    return F.when(kind.isin("Field", "Variable"), F.format_string("%s %s: %s", kind, name, type_name)).otherwise(F.format_string("%s %s", kind, name))
+def node_label(kind: Column, name: Column, owner: Column, sig: Column, names: Column) -> Column:
+    """How a declaration is shown: Method<Owner: sig>, Class<n>, Interface<n>, Enum<n>, EnumEntry<n>, Field<[a, b]>, Var<n>, Type<n>; else its name."""
+    shown = F.when(kind.isin("Method", "Constructor"), F.format_string("Method<%s: %s>", F.coalesce(owner, F.lit("")), sig))
+    for own in ("Class", "Interface", "Enum", "EnumEntry", "Type"):
+        shown = shown.when(kind == own, F.format_string(f"{own}<%s>", name))
+    return shown.when(kind == "Field", F.format_string("Field<[%s]>", F.array_join(names, ", "))).when(kind == "Variable", F.format_string("Var<%s>", name)).otherwise(name)
+
+
+def phase_times(phases: Column) -> Column:
+    """Phases, structs (phase, ms) in their order, as "[Phase p cost 1ms, ...]"."""
+    return F.concat(F.lit("["), F.array_join(F.transform(phases, lambda r: F.format_string("Phase %s cost %dms", r["phase"], r["ms"])), ", "), F.lit("]"))
 
 
 def intervals_meet(a_begin: Column, a_end: Column, b_begin: Column, b_end: Column) -> Column:

@@ -169,3 +169,16 @@ def weak_components_large(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return labels
         last = state
     raise RuntimeError("labels did not settle")
+
+
+def group_report(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_groups, n_members, largest) of a partition (keys, group_id, member)."""
+    sizes = groups.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_members"), F.max("n").alias("largest"))
+
+
+def connected(groups: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, dst, connected) of the pairs: whether both are in one group; a node of no group is connected to nothing."""
+    side = lambda c: groups.select(*keys, F.col("patch_id").alias(c), F.col("group_id").alias(f"{c}_group"))
+    out = pairs.join(side("src"), [*keys, "src"], "left").join(side("dst"), [*keys, "dst"], "left")
+    return out.select(*keys, "src", "dst", F.coalesce(F.col("src_group") == F.col("dst_group"), F.lit(False)).alias("connected"))

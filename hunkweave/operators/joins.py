@@ -26,15 +26,22 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, a_begi
     return left.join(right, [*keys, "__bucket"]).where(meet & once).drop("__bucket")
 
 
-def span_join(nodes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes and token spans, (line, column) structs b and e against sb and se, that overlap in lexicographic order."""
-    return nodes.join(spans, keys).where(intervals_meet(F.col("b"), F.col("e"), F.col("sb"), F.col("se")))
+def span_join(nodes: DataFrame, spans: DataFrame, keys: list[str], lines: int = 64) -> DataFrame:
+    """Nodes and token spans, (line, column) structs b and e against sb and se, that overlap in lexicographic order.
+
+    Both go to the runs of so many lines that they touch, as in overlap_join, so a long file isn't one group of pairs.
+    """
+    names = [c for c in [*nodes.columns, *spans.columns] if c not in ("b_line_", "e_line_")]
+    own = nodes.withColumn("b_line_", F.col("b").getField("line")).withColumn("e_line_", F.col("e").getField("line"))
+    other = spans.withColumn("sb_line_", F.col("sb").getField("line")).withColumn("se_line_", F.col("se").getField("line"))
+    met = overlap_join(own, other, keys, lines, "b_line_", "e_line_", "sb_line_", "se_line_")
+    return met.where(intervals_meet(F.col("b"), F.col("e"), F.col("sb"), F.col("se"))).select(*dict.fromkeys(names))
 
 
-def inside(nodes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes whose lines touch a changed region."""
-    on = [nodes[k] == regions[k] for k in keys]
-    return nodes.join(regions, [*on, intervals_meet(nodes["b_line"], nodes["e_line"], regions["begin"], regions["end"])], "left_semi")
+def inside(nodes: DataFrame, regions: DataFrame, keys: list[str], node: list[str], lines: int = 64) -> DataFrame:
+    """Nodes, known by their columns ``node``, whose lines b_line..e_line touch a changed region begin..end; the rest is left out."""
+    met = overlap_join(nodes, regions.select(*keys, F.col("begin").alias("r_begin"), F.col("end").alias("r_end")), keys, lines, "b_line", "e_line", "r_begin", "r_end")
+    return nodes.join(met.select(*node).distinct(), node, "left_semi")
 
 
 def cover_lift(cover: DataFrame, ast_edges: DataFrame) -> DataFrame:
