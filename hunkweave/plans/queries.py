@@ -21,14 +21,14 @@ ORDER = ["o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 25")
+    lines = table(spark, sf_dir, "lineitem")
     rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     node = F.col("l_partkey") % 60
     return rows.select(F.col("o_custkey").alias("case_id"), node.alias("src"), F.lead(node).over(Window.partitionBy("o_custkey").orderBy(*ORDER)).alias("dst"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A case's nodes and edges: the parts of a customer's large line items, each with the next one's."""
+    """A case's nodes and edges: the parts of a customer's line items, each with the next one's."""
     steps = _steps(spark, sf_dir)
     return steps.select("case_id", F.col("src").alias("patch_id")).distinct(), steps.where("src <> dst").withColumn("etype", F.lit("DEPEND")).distinct()
 
@@ -36,7 +36,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 GRAPH = """
     x AS (SELECT o_custkey AS case_id, l_partkey % 60 AS src,
             lead(l_partkey % 60) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-          FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 25),
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     v AS (SELECT DISTINCT case_id, src AS n FROM x),
     e AS (SELECT DISTINCT case_id, src, dst FROM x WHERE src <> dst)"""
 PARTS = GRAPH + """,
@@ -120,9 +120,9 @@ def refactoring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 46")
-    side = lambda y: lines.where(F.year("l_shipdate") == y).groupBy(F.col("l_partkey").alias("path")).agg(F.count(F.lit(1)).alias("blob_id")).withColumn("case_id", F.lit(0))
-    return diff.tree_diff(side(1996), side(1997), ["case_id"], same=True)
+    """A case is a year: the parts shipped in it against those of the next, by how often."""
+    held = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), F.col("l_partkey").alias("path")).agg(F.count(F.lit(1)).alias("blob_id"))
+    return diff.tree_diff(held.withColumnRenamed("year", "case_id"), held.select((F.col("year") - 1).alias("case_id"), "path", "blob_id"), ["case_id"], same=True)
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +206,9 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document that has a similar earlier one, with the first of these, as the two sides of a changed file."""
+    """The two documents of each similar pair as the sides of a changed file; a case is the later one, its files the earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = written(clone_pairs(spark, sf_dir).groupBy("dst").agg(F.min("src").alias("src")), "pairs")
+    pairs = written(clone_pairs(spark, sf_dir).select("src", "dst"), "pairs")
     rows = pairs.join(docs.toDF("src", "left_content"), "src").join(docs.toDF("dst", "right_content"), "dst")
     path = F.concat(F.lit("src/main/java/D"), F.col("src").cast("string"), F.lit(".java"))
     return rows.select(F.col("dst").alias("case_id"), F.lit("MODIFY").alias("change_type"), path.alias("left_path"), path.alias("right_path"), "left_content", "right_content")
@@ -252,13 +252,13 @@ SQL = {
     "trivial_hunks": "SELECT o_custkey AS case_id, o_orderkey AS patch_id FROM orders WHERE o_orderpriority[1] IN ('1', '5') OR o_orderstatus = 'P'",
     "trivial_edges": "WITH t AS (SELECT o_custkey AS case_id, o_orderkey AS p FROM orders WHERE o_orderpriority[1] IN ('1', '5') OR o_orderstatus = 'P') SELECT a.case_id, a.p AS src, b.p AS dst FROM t a JOIN t b ON a.case_id = b.case_id AND a.p > b.p",
     "refactoring_edges": "WITH d AS (SELECT DISTINCT l_orderkey AS case_id, l_returnflag AS r, l_partkey AS p FROM lineitem), n AS (SELECT case_id, p, (SELECT max(x.p) FROM d x WHERE x.case_id = d.case_id AND x.r = d.r AND x.p < d.p) AS q FROM d) SELECT DISTINCT * FROM (SELECT case_id, q AS src, p AS dst FROM n WHERE q IS NOT NULL UNION ALL SELECT case_id, p, q FROM n WHERE q IS NOT NULL)",
-    "tree_diff": """WITH l AS (SELECT l_partkey AS p, count(*) AS a FROM lineitem WHERE l_quantity >= 46 AND year(l_shipdate) = 1996 GROUP BY ALL),
-        r AS (SELECT l_partkey AS p, count(*) AS b FROM lineitem WHERE l_quantity >= 46 AND year(l_shipdate) = 1997 GROUP BY ALL),
-        j AS (SELECT coalesce(l.p, r.p) AS p, a, b FROM l FULL JOIN r ON l.p = r.p),
-        g AS (SELECT p, a, row_number() OVER (PARTITION BY a ORDER BY p) AS n FROM j WHERE b IS NULL),
-        k AS (SELECT p, b, row_number() OVER (PARTITION BY b ORDER BY p) AS n FROM j WHERE a IS NULL)
-        SELECT 0 AS case_id, CASE WHEN g.p IS NULL THEN 'ADD' WHEN k.p IS NULL THEN 'DELETE' ELSE 'RENAME' END AS change_type, g.p AS left_path, k.p AS right_path, a AS left_blob, b AS right_blob FROM g FULL JOIN k ON a = b AND g.n = k.n
-        UNION ALL SELECT 0, CASE WHEN a = b THEN 'SAME' ELSE 'MODIFY' END, p, p, a, b FROM j WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "tree_diff": """WITH n AS (SELECT year(l_shipdate) AS y, l_partkey AS p, count(*) AS c FROM lineitem GROUP BY ALL),
+        l AS (SELECT y, p, c AS a FROM n), r AS (SELECT y - 1 AS y, p, c AS b FROM n),
+        j AS (SELECT coalesce(l.y, r.y) AS y, coalesce(l.p, r.p) AS p, a, b FROM l FULL JOIN r ON l.p = r.p AND l.y = r.y),
+        g AS (SELECT y, p, a, row_number() OVER (PARTITION BY y, a ORDER BY p) AS n FROM j WHERE b IS NULL),
+        k AS (SELECT y, p, b, row_number() OVER (PARTITION BY y, b ORDER BY p) AS n FROM j WHERE a IS NULL)
+        SELECT coalesce(g.y, k.y) AS case_id, CASE WHEN g.p IS NULL THEN 'ADD' WHEN k.p IS NULL THEN 'DELETE' ELSE 'RENAME' END AS change_type, g.p AS left_path, k.p AS right_path, a AS left_blob, b AS right_blob FROM g FULL JOIN k ON a = b AND g.n = k.n AND g.y = k.y
+        UNION ALL SELECT y, CASE WHEN a = b THEN 'SAME' ELSE 'MODIFY' END, p, p, a, b FROM j WHERE a IS NOT NULL AND b IS NOT NULL""",
     "range_overlap": "WITH i AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT // 60 AS b, (floor(epoch(ts))::BIGINT + floor(value)::BIGINT * 60) // 60 AS e FROM events WHERE value IS NOT NULL) SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM i x JOIN i y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.e >= y.b AND x.b <= y.e AND x.b <= x.e AND y.b <= y.e",
     "span_overlap": "WITH i AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS b, floor(epoch(ts))::BIGINT + floor(value)::BIGINT * 60 AS e FROM events WHERE value IS NOT NULL) SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM i x JOIN i y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.e >= y.b AND x.b <= y.e",
     "adjacent_same_name": "SELECT * FROM (SELECT p_brand, p_type, p_partkey AS src, lag(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS dst FROM part) WHERE dst IS NOT NULL",
