@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # What the analysed language and its tools prescribe.
 SOURCE_SUFFIX = ".java"
 SOURCE_ROOTS = ("src/main/java", "src/test/java")
-COMMENT_PREFIXES = ("//", "/*", "*", "*/", "/**")
 CJK = "[\\u4E00-\\u9FFF]"
 PLATFORM_PACKAGES = ("java", "javax", "javafx", "jdk", "sun")
 LINE_BREAK = "\\r?\\n"

@@ -6,18 +6,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the intermediates that this process has written and not yet removed.
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; sets one only where there is none."""
+    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; only a local session that names none gets one."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes every intermediate; call it when results are written, since what reads them can't be computed again."""
+    while _written:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
