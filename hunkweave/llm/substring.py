@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, size_in_bytes
+from .common import fresh, size_in_bytes, slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose windows are merged on the map side at once, and bytes of input files for each bucket.
@@ -213,7 +213,7 @@ def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [None if t is None else cut_text(t.encode(), hits.as_py(), window).decode() for t, hits in zip(b.column(text_col).to_pylist(), b.column(name))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(text_col).type) if c == text_col else b.column(c) for c in names], names)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fresh, remove, written
+from .common import crc_fold, fresh, remove, slices, written
 
 TOXIC, ORDINARY = 2000, 6000
 #: Windows are cut twice, by either size, so that a word at the edge of one is inside another.
@@ -147,25 +148,27 @@ def _base(samples: list[bytes]) -> bytes:
 
 
 def _mapped(texts: DataFrame, schema: str, each) -> DataFrame:
-    """each(batch) makes the rows of a batch of (number, toxic, t)."""
+    """each(rows) makes new rows of the rows (number, toxic, t) of a partition."""
     names = [x.split()[0] for x in schema.split(", ")]
     types = [{"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(each(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())))
+        found = each(row for b in slices(batches) for row in zip(*(c.to_pylist() for c in b.columns)))
+        while rows := list(islice(found, 20_000)):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     return texts.select("number", "toxic", "t").mapInArrow(run, schema)
 
 
 def _piece_counts(rows) -> Iterator[tuple[bytes, int, int]]:
-    counts: dict[bytes, list[int]] = {}
+    counts: dict[bytes, int] = {}  # of ordinary texts, and of toxic ones in the upper half
     for _, toxic, t in rows:
         for s in _segments(t):
-            counts.setdefault(s, [0, 0])[0 if toxic else 1] += 1
-    for s, (a, b) in counts.items():
-        yield s, a, b
+            counts[s] = counts.get(s, 0) + (1 << 32 if toxic else 1)
+        if len(counts) > 100_000:
+            yield from ((s, n >> 32, n & 0xFFFFFFFF) for s, n in counts.items())
+            counts.clear()
+    yield from ((s, n >> 32, n & 0xFFFFFFFF) for s, n in counts.items())
 
 
 def train(texts: DataFrame) -> Model:
@@ -241,7 +244,7 @@ def scored(docs: DataFrame, model: Model, score_col: str = "score", text_col: st
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [None if t is None else t if isinstance(t, bytes) else t.encode() for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(model.score(texts) if texts else [], pa.float64())], [*names, score_col])
 
