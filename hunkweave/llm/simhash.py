@@ -121,7 +121,7 @@ def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return which, at // nb[which], at % nb[which]
 
 
-def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, labels: np.ndarray | None = None, most: int = 0, leaf_pairs: int = 24, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, labels: np.ndarray | None = None, most: int = 0, leaf_pairs: int = 24, chunk: int = 25_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (i, j, sure, more) that span the components of the leaves under one or two trie nodes.
 
     keys: uint64, the trie's bit order from the highest bit; fps: uint64 rows for the whole Hamming distance.
@@ -134,7 +134,7 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
     order = np.argsort(keys, kind="stable") if sides is None else np.lexsort((keys, sides))
     k, f = keys[order], fps[order]
     n, forest = len(k), Forest(len(k))
-    cut, limit = np.zeros(n, bool), 2_000_000
+    cut, limit = np.zeros(n, bool), 500_000
     if labels is not None:
         forest.label, tight = np.unique(labels[order], return_inverse=True)[1], -1
     na = n if sides is None else int(n - sides.sum())
@@ -340,8 +340,11 @@ def _led_keys(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _unpacked(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1)[:, :WORDS64].astype(np.uint64)
+def _unpacked(fps: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The fingerprints' words, without what tells equal ones apart."""
+    chunks = fps.chunks if isinstance(fps, pa.ChunkedArray) else [fps]
+    parts = [np.frombuffer(b"".join(c.slice(at, 8192).to_pylist()), ">u8").reshape(min(8192, len(c) - at), -1)[:, :WORDS64].astype(np.uint64) for c in chunks for at in range(0, len(c), 8192)]
+    return np.concatenate(parts) if parts else np.empty((0, WORDS64), np.uint64)
 
 
 def _blocks(leaves: DataFrame, d: int, per_node: int) -> np.ndarray:
@@ -352,7 +355,7 @@ def _blocks(leaves: DataFrame, d: int, per_node: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((tries, 1 << d), np.int64)
         for b in batches:
-            for trie, key in enumerate(_led_keys(_unpacked(b.column(0).to_pylist()))):
+            for trie, key in enumerate(_led_keys(_unpacked(b.column(0)))):
                 n[trie] += np.bincount((key >> np.uint64(64 - d)).astype(np.int64), minlength=1 << d) if d else len(key)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], ["node", "n"])
@@ -379,7 +382,7 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -
         for b in batches:
             low = b.column(0).to_numpy()
             mixed = _mixed(low.view(np.uint64), 1)
-            for trie, key in enumerate(_led_keys(_unpacked(b.column(1).to_pylist()))):
+            for trie, key in enumerate(_led_keys(_unpacked(b.column(1)))):
                 p = (key >> np.uint64(64 - d)).astype(np.int64) if d else np.zeros(len(low), np.int64)
                 own = (mixed % cuts[trie, p].astype(np.uint64)).astype(np.int64)
                 for m in masks:
@@ -393,7 +396,7 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         _, lo, hi, ba, bb = (x.as_py() for x in key)
-        ids, fps = t.column("low").to_numpy(), _unpacked(t.column("fp").to_pylist())
+        ids, fps = t.column("low").to_numpy(), _unpacked(t.column("fp"))
         order, second = t.column("key").to_numpy().view(np.uint64), None if (lo, ba) == (hi, bb) else t.column("second").to_numpy()
         if known:
             # All pairs but those of two main leaves, which are many and of one label.
