@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
@@ -25,7 +25,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A shard is closed once it has this many compressed bytes.
 SHARD_BYTES = 32 << 20
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:hunkweave:warc")
-RECORD = "shard string, seq long, type string, record_id string, concurrent_to string, refers_to string, page_id long, target_uri string, date string, digest string, headers string, payload binary"
+RECORD = "shard string, seq long, type string, record_id string, concurrent_to string, refers_to string, page_id long, target_uri string, date string, digest string, payload_bytes long, headers string, payload binary"
 
 
 def record_id(*parts: object) -> str:
@@ -94,7 +94,7 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
     folder = new_path(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     # Only ids and digests are compared; payloads meet their response's id by a join that may be split.
-    firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"))
+    firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("x")).select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"))
     rows = rows.join(firsts, "digest", "left").withColumn("revisit", F.coalesce((F.length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +111,24 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
             return row
 
         for b in batches:
-            for page_id, url, payload, digest, first, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "revisit"))):
-                own = record_id(page_id, digest) if not revisit else record_id(page_id, digest, url)
-                held.append(capture(page_id, url, payload, revisit, record_id(first, digest), own, date))
+            for page_id, url, payload, digest, first, first_url, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "first_url", "revisit"))):
+                # Only rows that are equal in all share an id.
+                held.append(capture(page_id, url, payload, revisit, record_id(first, digest, first_url), record_id(page_id, digest, url), date))
                 total, size = total + 3, size + len(held[-1])
                 if size >= SHARD_BYTES:
                     yield close()
         if held:
             yield close()
 
-    return written(rows.select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(run, "path string, n_records long"), "manifest")
+    return written(rows.select("page_id", "url", "payload", "digest", "first", "first_url", "revisit").mapInArrow(run, "path string, n_records long"), "manifest")
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """The records of the archives that a manifest lists, in RECORD's columns."""
+def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of the archives that a manifest lists, in RECORD's columns; an empty manifest gives none.
+
+    payload_bytes and digest are those of the payload that was read, null for a revisit, which has none.  A payload that differs from
+    its record's digest ends the job.  payloads: False leaves the payloads themselves out (null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -134,14 +138,18 @@ def read(manifest: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 with files.open_file(path) as stream:
                     for seq, (f, block) in enumerate(records(stream)):
-                        kind, page, headers, payload = f["WARC-Type"], None, None, block
+                        kind, page, headers, payload, digest, n = f["WARC-Type"], None, None, block, None, None
                         if kind in ("response", "revisit", "request"):
                             head, _, payload = block.partition(b"\r\n\r\n")
                             headers = head.decode()
                         elif kind == "metadata":
                             page = json.loads(block)["page_id"]
-                        rows.append((path, seq, kind, f["WARC-Record-ID"], f.get("WARC-Concurrent-To"), f.get("WARC-Refers-To"), page, f.get("WARC-Target-URI"), f.get("WARC-Date"), f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, headers, payload))
+                        if kind == "response":
+                            digest, n = sha1_base32(payload), len(payload)
+                            if f.get("WARC-Payload-Digest", f"sha1:{digest}") != f"sha1:{digest}":
+                                raise ValueError(f"{path}: the payload of {f['WARC-Record-ID']} is damaged")
                         size += len(payload)
+                        rows.append((path, seq, kind, f["WARC-Record-ID"], f.get("WARC-Concurrent-To"), f.get("WARC-Refers-To"), page, f.get("WARC-Target-URI"), f.get("WARC-Date"), digest, n, headers, payload if payloads else None))
                         if size >= 8 << 20 or len(rows) >= 5_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows, size = [], 0
@@ -151,34 +159,40 @@ def read(manifest: DataFrame) -> DataFrame:
     return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, RECORD)
 
 
+def _counted(recs: DataFrame, key: str) -> DataFrame:
+    """The records with ``k``, the how manieth of its key and type each is, by place; only keys that occur again are ordered."""
+    again = recs.groupBy("type", key).count().where("count > 1").drop("count")
+    place = Window.partitionBy("type", key).orderBy("shard", "seq")
+    twice = recs.join(again.hint("merge"), ["type", key], "left_semi").withColumn("k", F.row_number().over(place))
+    return recs.join(again.hint("merge"), ["type", key], "left_anti").withColumn("k", F.lit(1)).unionByName(twice)
+
+
 def assemble(recs: DataFrame) -> DataFrame:
-    """One nested row a capture: its response or revisit with the request and metadata records concurrent to it.
+    """One nested row a capture: its response or revisit with the request and metadata records that are concurrent to it.
 
-    Captures whose request or metadata is missing keep null there.  Archives may hold a capture twice, as repeated
-    rows of the pages do; the k-th request and metadata then go to the k-th capture, by their place in the archives.
+    Records meet by the concurrent-to identifier, wherever in the archives they stand.  Captures whose request or metadata is
+    missing keep null there, and records concurrent to no capture are left out.  Where archives hold an identifier again, as repeated
+    rows of the pages make them, whose records are equal, the k-th request and metadata by place go to the k-th capture.
     """
-    main = recs.where(F.col("type").isin("response", "revisit"))
-    own = F.struct("type", "record_id", "refers_to", "target_uri", "date", "digest", "headers", "payload").alias("capture")
-    main = main.select(F.col("record_id").alias("id"), "shard", "seq", own)
-    side = {k: recs.where(F.col("type") == k).select(F.col("concurrent_to").alias("id"), "shard", "seq", F.struct("record_id", "page_id", "headers", "date").alias(k)) for k in ("request", "metadata")}
-    # A capture's records stand next to each other, so (id, shard, place) is a key even where ids repeat.
-    keyed = [main.withColumn("at", F.col("seq")), side["request"].withColumn("at", F.col("seq") - 1), side["metadata"].withColumn("at", F.col("seq") - 2)]
-    a, b, c = (x.drop("seq") for x in keyed)
-    return a.join(b.hint("merge"), ["id", "shard", "at"], "left").join(c.hint("merge"), ["id", "shard", "at"], "left").select("capture", "request", "metadata")
+    main = recs.where(F.col("type").isin("response", "revisit")).withColumn("id", F.col("record_id"))
+    own = F.struct("type", "record_id", "refers_to", "target_uri", "date", "digest", "payload_bytes", "headers", "payload").alias("capture")
+    out = _counted(main, "id").select("id", "k", own)
+    for kind in ("request", "metadata"):
+        side = _counted(recs.where(F.col("type") == kind).withColumn("id", F.col("concurrent_to")).where("id IS NOT NULL"), "id")
+        out = out.join(side.select("id", "k", F.struct("record_id", "page_id", "headers", "date").alias(kind)).hint("merge"), ["id", "k"], "left")
+    return out.select("capture", "request", "metadata")
 
 
 def round_trip(pages: DataFrame, least: int = 0, **columns: str) -> DataFrame:
-    """Writes and reads the archives: page_id, payload_bytes, payload_digest, record_type, refers_to of every page.
+    """Writes the archives and reads them once: page_id, payload_bytes, payload_digest, record_type, refers_to of every page.
 
-    A revisit's length is that of the full payload, from the HTTP headers that its record keeps; the response it
-    refers to is found by record id.
+    Lengths and digests are of the payloads that were read; a revisit's are those of the response that it refers to by record id.
     """
-    whole = assemble(read(write(pages, least, **columns)))
-    length = F.regexp_extract("capture.headers", r"(?m)^Content-Length: (\d+)", 1).cast("long")
-    flat = whole.select(F.col("metadata.page_id").alias("page_id"), length.alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("capture.record_id").alias("rid"), F.col("capture.refers_to").alias("target"))
+    recs = written(read(write(pages, least, **columns), payloads=False), "records")
+    flat = assemble(recs).select(F.col("metadata.page_id").alias("page_id"), "capture.payload_bytes", F.col("capture.digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("capture.record_id").alias("rid"), F.col("capture.refers_to").alias("target"))
     flat = written(flat, "captures")
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     responses = flat.where("record_type = 'response'")
-    targets = responses.select(F.col("rid").alias("target"), F.col("page_id").alias("refers_to")).distinct()
-    revisits = flat.where("record_type = 'revisit'").join(targets.hint("merge"), "target", "left")
+    targets = responses.groupBy(F.col("rid").alias("target")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    revisits = flat.where("record_type = 'revisit'").select("page_id", "record_type", "target").join(targets.hint("merge"), "target", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     return revisits.select(*names, "refers_to").union(responses.select(*names, F.lit(None).cast("long")))
