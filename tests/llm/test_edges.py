@@ -130,11 +130,11 @@ def test_suffix_tree_base_score_and_total_probability(docs, none):
 
 
 def test_suffix_tree_next_tokens_sum_to_one(spark):
-    texts = spark.createDataFrame([(b"a b a c a b",), (b"b a b a d",), (b"c c a b",)] * 4, "t binary")
-    model, table = pst.fit(texts)
+    texts = spark.createDataFrame([(i, False, t) for i, t in enumerate([b"a b a c a b", b"b a b a d", b"c c a b", b"x p q r s t y", b"z p q r s t w"] * 4)], "doc_id long, held_out boolean, t binary")
+    model, table, _ = pst.fit(texts)
     everything = [bytes(r.word) for r in table.collect()]
-    assert len(everything) == len(model.words) and len(model.levels) == 2
-    for before in ([], [b"a"], [b"b", b"a"], [b"c", b"c"], [b"z", b"a"]):
+    assert len(everything) == len(model.words) and len(model.levels) >= 2
+    for before in ([], [b"a"], [b"b", b"a"], [b"c", b"c"], [b"z", b"a"], [b"z", b"p", b"q"]):
         ids = np.concatenate(([model.start], model.ids(before)))
         p = 0.0
         for w in range(len(everything)):
@@ -147,6 +147,16 @@ def test_suffix_tree_next_tokens_sum_to_one(spark):
         assert p == pytest.approx(1)
 
 
+def test_suffix_tree_goes_as_deep_as_contexts_tell_more(spark):
+    # At each word of a run the longer context narrows what may follow: a number's digits, then one word for each number.
+    rows = [f"{' '.join('ab'[int(x)] for x in f'{n:04b}')} end{n}" for n in range(16)] * 6
+    texts = spark.createDataFrame([(i, i % 7 == 0, t.encode()) for i, t in enumerate(rows)], "doc_id long, held_out boolean, t binary")
+    model, words, numbered = pst.fit(texts)
+    assert len(model.levels) >= 4 and all(x["kept"].any() for x in model.levels[:4])
+    got = {r.doc_id: r for r in pst.scores(numbered, model, words, 4).collect()}
+    assert len(got) == len(rows) and all(r.score > r.base_score + 1 for r in got.values())
+
+
 def library(name):
     """The library as it comes."""
     from tokenizers import Tokenizer
@@ -236,6 +246,25 @@ def test_warc_round_trip(spark):
     whole = {r.metadata.page_id: r for r in warc.assemble(warc.read(warc.write(pages))).where("metadata.page_id IN (2, 5)").collect()}
     assert bytes(whole[5].capture.payload).decode() == "é\r\n\r\n" * 9 and whole[2].request.headers.startswith("GET /y HTTP/1.1\r\nHost: a")
     assert {r[3] for r in warc.round_trip(pages, least=5).collect()} == {"response"}
+    # Records find each other wherever they stand: here every record is moved, and one kind to another file.
+    recs = warc.read(warc.write(pages))
+    moved = recs.withColumn("shard", F.when(F.col("type") == "metadata", "elsewhere").otherwise(F.col("shard"))).withColumn("seq", F.xxhash64("record_id") % 1000)
+    plain = lambda df: Counter((r.capture.type, r.capture.record_id, r.request.record_id, r.metadata.page_id) for r in df.collect())
+    assert plain(warc.assemble(moved)) == plain(warc.assemble(recs)) and None not in {k[2] for k in plain(warc.assemble(recs))}
+    assert [r.metadata for r in warc.assemble(recs.where("type <> 'metadata'")).collect()] == [None] * 8
+
+
+def test_damaged_payloads_are_told(spark, tmp_path):
+    whole = warc.capture(1, "u", b"payload", False, None, "<urn:x>", "2024-01-01T00:00:00Z")
+    record = b"".join(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:y>"), ("WARC-Payload-Digest", "sha1:" + warc.sha1_base32(b"other"))], b"HTTP/1.1 200 OK\r\n\r\npayload") for _ in range(1))
+    for name, raw, ok in (("a", whole, True), ("b", record, False)):
+        (tmp_path / name).write_bytes(raw)
+        recs = warc.read(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string"))
+        if ok:
+            assert recs.count() == 3
+        else:
+            with pytest.raises(Exception, match="damaged"):
+                recs.collect()
 
 
 def test_top_k_against_brute_force(spark):
