@@ -84,6 +84,40 @@ def test_overloads_calls_definitions_and_control(found):
     assert {(a.split(":")[0], b.split("@")[1]) for a, b in of(found, "REFERENCE")} >= {(".Saw", "5"), (".Tools", "4"), ("Cow.cut", "7"), (".List", "8")}
 
 
+def test_calls_follow_argument_types_and_what_names_hold(spark):
+    code = """package p;
+class Base { void k(int a) { } void k(String a) { } void only() { } }
+class Sub extends Base { void k(int a) { } private void k(long a) { } }
+class Other { void only() { } void k(Base b) { } }
+class Use {
+  Base[] all = { new Sub() };
+  void m(int n) {
+    k("x");
+    Base b = new Sub();
+    b.k(1);
+    b.k("y");
+    Object o = null;
+    o = new Other();
+    o.only();
+    all[0].k(2);
+    all[1] = new Base();
+    all[0].k(3);
+    new Thread(this::m);
+  }
+  void k(int a) { }
+  void k(String a) { }
+}
+"""
+    found = edges(spark, {"src/main/java/p/Use.java": code})
+    got = {(a.split("@")[1], b.split(":")[0] + "@" + b.split("@")[1]) for a, b in of(found, "METHOD_CALL")}
+    assert got == {("8", "Use.k@21"), ("10", "Sub.k@3"), ("10", "Base.k@2"), ("11", "Base.k@2"), ("14", "Other.only@4"), ("15", "Sub.k@3"), ("15", "Base.k@2"), ("17", "Sub.k@3"), ("17", "Base.k@2"), ("18", "Use.m@7")}
+
+
+def test_overrides_are_found_at_any_height(spark):
+    code = "package p;\n" + "\n".join(f"class C{i} {f'extends C{i - 1} ' if i else ''}{{ {'@Override public String name() { return null; }' if i in (0, 30) else ''} }}" for i in range(31)) + "\nclass A extends B { }\nclass B extends A { }\n"
+    assert of(edges(spark, {"src/main/java/p/C.java": code}), "OVERRIDE") == {("C30.name:Method@32", "C0.name:Method@2")}
+
+
 def test_unreadable_files_are_told(spark):
     with pytest.raises(JavaError):
         parse("class A { int x = ; ")
@@ -103,3 +137,11 @@ def test_untangle(spark):
     assert (1, 0, 1, "DEPEND") in {tuple(r) for r in found.where("case_id = 1").select("case_id", "src", "dst", "etype").collect()}
     assert [r.case_id for r in failed.collect()] == [2]
     assert groups.where(F.col("case_id") == 3).first().left is None
+
+
+def test_hunks_of_a_condition_and_its_braced_body_are_tied(spark):
+    text = "package p;\nclass A {\n  void f(int n) { while (n > %d) {\n\n\n\n\n  n = n - %d; } }\n}\n"
+    rows = [(1, s, "src/main/java/p/A.java", text % v) for s, v in (("L", (0, 1)), ("R", (5, 2)))]
+    groups, found, _ = untangle(spark.createDataFrame(rows, "case_id long, side string, path string, content string"))
+    assert [(r.src, r.dst, r.etype) for r in found.distinct().collect()] == [(1, 0, "DEPEND")]
+    assert {r.group_id for r in groups.collect()} == {0} and groups.count() == 2

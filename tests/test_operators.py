@@ -160,3 +160,52 @@ def test_clones_of_a_hot_key_meet_in_blocks(spark):
     whole = {tuple(r) for r in joins.clone_pairs(rows, ["k"], "id", "t").collect()}
     assert whole == {("k", 0, 1)} == {tuple(r) for r in joins.clone_pairs(rows, ["k"], "id", "t", block=1).collect()}
     assert {tuple(r) for r in joins.clone_classes(rows, ["k"], "id", "t").collect()} == {("k", 0, 0), ("k", 1, 1), ("k", 2, 2), ("k", 3, 3), ("k", 4, 3)}
+
+
+def test_miner_limits_are_those_of_one_commit():
+    from hunkweave.operators.sequence import MinerChain
+
+    def diffs(*paths):
+        return [{"a_path": a, "b_path": b, "n_hunks": 1, "valid": True} for a, b in paths]
+
+    chain = MinerChain()
+    chain.start({"sha": "0"})
+    # Two files each, four in the chain: the limit of three is each commit's own.
+    assert chain.take({"sha": "1", "parents": ["0"], "diffs": diffs(("a", "a2"), ("b", "b2"))})
+    assert chain.take({"sha": "2", "parents": ["1"], "diffs": diffs(("c", "c2"), ("d", "d2"))})
+    # An added file and a deleted one share no path.
+    assert chain.take({"sha": "3", "parents": ["2"], "diffs": diffs((None, "new"))})
+    assert chain.take({"sha": "4", "parents": ["3"], "diffs": diffs(("gone", None))})
+    assert not chain.take({"sha": "5", "parents": ["4"], "diffs": diffs(("a2", "x"))})
+    assert not chain.take({"sha": "5", "parents": ["4"], "diffs": diffs(("x", "a"))})
+    assert not chain.take({"sha": "5", "parents": None, "diffs": diffs(("x", "y"))})
+
+
+def test_facts(spark):
+    from hunkweave.operators import facts
+
+    puts = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "d", 1)], "node long, value string, seq int")
+    known = facts.latest(puts, ["node"], "value", ["seq"])
+    assert {tuple(r) for r in known.collect()} == {(1, "b"), (2, "c"), (None, "d")}
+    pairs = spark.createDataFrame([(10, 1), (11, 3)], "to long, node long")
+    assert [tuple(r) for r in facts.assign(known, pairs, ["node"], "value").collect()] == [(10, "b")]
+    assert [r.to for r in facts.if_known(pairs, known, ["node"]).collect()] == [10]
+    assert facts.merged(known, known).count() == 3
+    assert [r.line for r in facts.rendered(puts.where("node = 1"), ["node"], ["seq"], F.col("value")).collect()] == ["[a, b]"]
+
+
+def test_span_join_equals_the_plain_condition(spark):
+    import random
+
+    from hunkweave.operators.joins import inside, span_join
+
+    random.seed(3)
+    point = lambda x: (x // 50, x % 50)
+    rows = [(i, 0, point(a), point(a + random.randrange(9_000 if i % 9 == 0 else 60))) for i in range(60) for a in [random.randrange(20_000)]]
+    nodes = spark.createDataFrame(rows, "id long, f int, b struct<line:int,col:int>, e struct<line:int,col:int>")
+    spans = nodes.select("f", F.col("id").alias("other"), F.col("b").alias("sb"), F.col("e").alias("se"))
+    got = {(r.id, r.other) for r in span_join(nodes, spans, ["f"]).collect()}
+    assert got == {(x[0], y[0]) for x in rows for y in rows if x[3] >= y[2] and x[2] <= y[3]}
+    lines = nodes.select("id", "f", F.col("b.line").alias("b_line"), F.col("e.line").alias("e_line"))
+    regions = spark.createDataFrame([(0, 10, 20), (0, 300, 299)], "f int, begin int, end int")
+    assert {r.id for r in inside(lines, regions, ["f"], ["id"]).collect()} == {x[0] for x in rows if x[2][0] <= 20 and x[3][0] >= 10}
