@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09-\x0D.  ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the row group that a task holds while it writes an intermediate table.
+ROW_GROUP = 16 << 20
 A_TO_Z, SMALL_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

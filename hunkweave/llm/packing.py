@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import written
 
-LENGTH, WINDOWS, FAN_IN = 2048, 8, 16
+LENGTH, WINDOWS, FAN_IN, BATCH_BYTES = 2048, 8, 16, 2 << 20
 _COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -30,13 +30,14 @@ Piece = tuple[int | None, int, bytes, int]
 class Packer:
     def __init__(self, prefix: int, length: int = LENGTH, windows: int = WINDOWS, keep_ids: bool = False):
         self.length, self.windows, self.keep_ids = length, windows, keep_ids
-        self.next_id, self.open, self.rows = prefix, [], []
+        self.next_id, self.open, self.rows, self.held = prefix, [], [], 0
 
     def emit(self, pieces: list[Piece]) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
             self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next_id, at, ids if self.keep_ids else None))
+            self.held += 100 + len(ids) * self.keep_ids
             at += n
         self.next_id += 1
 
@@ -81,7 +82,7 @@ class Packer:
             self.emit(own)
 
     def batch(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.held = self.rows, [], 0
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_COLUMNS.values())], list(_COLUMNS))
 
     def left(self) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def _round(df: DataFrame, number: int, last: bool, read, length: int, windows: i
         for b in batches:
             for piece in read(b):
                 packer.add(*piece)
-                if len(packer.rows) >= 5_000:
+                if packer.held >= BATCH_BYTES:
                     yield packer.batch()
         if last:
             packer.finish()
@@ -117,8 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
     stop = end.to_bytes(4, "little")
 
     def texts(b: pa.RecordBatch) -> Iterator[Piece]:
-        for at in range(0, len(b), 500):
-            some = b.slice(at, 500)
+        for at in range(0, len(b), 200):
+            some = b.slice(at, 200)
             for doc, ids in zip(some.column(0).to_pylist(), tokens.encoder(tokenizer).ids_of(some.column(1).to_pylist())):
                 yield doc, 0, ids + stop, len(ids) // 4 + 1
 

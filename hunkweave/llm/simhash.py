@@ -412,6 +412,7 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -
         i, j, sure, more = (np.concatenate(x) for x in zip(*out))
         a, b = ids[i], ids[j]
         apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
+        pa.default_memory_pool().release_unused()  # the worker goes on to smaller things
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart, "more": more})
 
     keys = ["trie", "lo", "hi", "ba", "bb"]

@@ -19,9 +19,9 @@ import numpy as np
 
 END = 1
 #: Distinct words whose ids a worker keeps before it starts anew, and slots of their table.
-WORDS, SLOTS = 2_500_000, 1 << 23
+WORDS, SLOTS = 1_200_000, 1 << 22
 #: New words that are asked for together, and bytes of texts that are handled together.
-RUN, CHUNK = 50, 2_000_000
+RUN, CHUNK = 50, 500_000
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space besides the space and the line break.
 _OTHER_SPACES = [chr(x) for x in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -77,7 +77,7 @@ class _Known:
 
     def __init__(self) -> None:
         self.slots = np.full(SLOTS, -1, np.int32)
-        self.h, self.starts, self.sizes, self.flat = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.h, self.starts, self.sizes, self.flat = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
         self.n = self.used = 0
 
     def _slot(self, h1: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ class Encoder:
     def _odd_ids(self, text: str) -> bytes:
         parts = _SAFE_CUT.split(text)
         new = list(set(parts) - self.odd.keys())
-        if len(self.odd) + len(new) > WORDS // 8:
+        if len(self.odd) + len(new) > WORDS // 16:
             self.odd.clear()
             new = list(set(parts))
         self.odd.update((x, np.array(i, "<u4").tobytes()) for x, i in zip(new, self._whole(new)))
