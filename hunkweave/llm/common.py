@@ -16,7 +16,15 @@ ROW_GROUP = 16 << 20
 A_TO_Z, SMALL_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python and back a thousand rows at a time, unless the session says otherwise than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +46,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
