@@ -139,7 +139,8 @@ def repeats(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
     sent = texts.mapInArrow(send, "bucket int, h binary, ids binary, doc long, spans binary")
-    return sent.groupBy("bucket").applyInArrow(count, "doc long, h binary, spans binary")
+    # As many tasks as buckets, whatever the session's number of shuffle partitions.
+    return sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, "doc long, h binary, spans binary")
 
 
 def removed_words(words: list[bytes], hits: list[dict] | None, window: int) -> np.ndarray:
