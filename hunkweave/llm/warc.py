@@ -159,12 +159,13 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, RECORD)
 
 
-def _counted(recs: DataFrame, key: str) -> DataFrame:
-    """The records with ``k``, the how manieth of its key and type each is, by place; only keys that occur again are ordered."""
-    again = recs.groupBy("type", key).count().where("count > 1").drop("count")
-    place = Window.partitionBy("type", key).orderBy("shard", "seq")
-    twice = recs.join(again.hint("merge"), ["type", key], "left_semi").withColumn("k", F.row_number().over(place))
-    return recs.join(again.hint("merge"), ["type", key], "left_anti").withColumn("k", F.lit(1)).unionByName(twice)
+def _counted(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """The rows with ``k``, the how manieth of its type and id each is, by place; only those whose id occurs again are ordered."""
+    if again is None:
+        return rows.withColumn("k", F.lit(1))
+    place = Window.partitionBy("type", "id").orderBy("shard", "seq")
+    twice = rows.join(again.hint("merge"), ["type", "id"], "left_semi").withColumn("k", F.row_number().over(place))
+    return rows.join(again.hint("merge"), ["type", "id"], "left_anti").withColumn("k", F.lit(1)).unionByName(twice)
 
 
 def assemble(recs: DataFrame) -> DataFrame:
@@ -174,11 +175,14 @@ def assemble(recs: DataFrame) -> DataFrame:
     missing keep null there, and records concurrent to no capture are left out.  Where archives hold an identifier again, as repeated
     rows of the pages make them, whose records are equal, the k-th request and metadata by place go to the k-th capture.
     """
-    main = recs.where(F.col("type").isin("response", "revisit")).withColumn("id", F.col("record_id"))
+    is_main = F.col("type").isin("response", "revisit")
+    rows = recs.withColumn("id", F.when(is_main, F.col("record_id")).otherwise(F.col("concurrent_to"))).where("id IS NOT NULL")
+    again = written(rows.groupBy("type", "id").count().where("count > 1").drop("count"), "again")
+    again = None if again.isEmpty() else again
     own = F.struct("type", "record_id", "refers_to", "target_uri", "date", "digest", "payload_bytes", "headers", "payload").alias("capture")
-    out = _counted(main, "id").select("id", "k", own)
+    out = _counted(rows.where(is_main), again).select("id", "k", own)
     for kind in ("request", "metadata"):
-        side = _counted(recs.where(F.col("type") == kind).withColumn("id", F.col("concurrent_to")).where("id IS NOT NULL"), "id")
+        side = _counted(rows.where(F.col("type") == kind), again)
         out = out.join(side.select("id", "k", F.struct("record_id", "page_id", "headers", "date").alias(kind)).hint("merge"), ["id", "k"], "left")
     return out.select("capture", "request", "metadata")
 
