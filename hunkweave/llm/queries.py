@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import balltree, decontaminate, packing, pst, simhash, substring, toolcalls, toxicity, warc, wavelet
+from . import balltree, decontaminate, kdcodes, merkle, packing, pst, sharding, simhash, substring, toolcalls, toxicity, warc, wavelet
 from .common import table
 
 
@@ -56,6 +57,26 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(wavelet.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op11_vector_bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``: every shard's sizes add up to nearly the same."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle.leaf(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    proofs = merkle.manifest(docs, columns, "lang", "doc_id", shown=F.when(tampers, tampered))
+    return merkle.verify(proofs).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdcodes.compress(table(spark, sf_dir, "embeddings"), scale=256.0, parts=16, entries=64, rounds=2)
+
+
 SQL = {
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS b FROM pages),
@@ -109,6 +130,48 @@ SQL = {
         o AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS keep FROM d LEFT JOIN g USING (doc_id))
         SELECT doc_id, len(w) AS n_words, len(w) - len(keep) AS n_removed,
                sha256(coalesce(array_to_string(list_transform(keep, lambda x: w[x]), ' '), '')) AS kept_sha256 FROM o""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+          SELECT doc_id, lang, crc32_of % 7 = 0 AS tampers, n_chars, a, t FROM (
+            SELECT doc_id, lang, n_chars, xor(4294967295, list_reduce(list_transform(str_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295)) AS crc32_of,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS t FROM documents)),
+        g AS (SELECT doc_id, lang, sha256(a || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || t) AS leaf,
+                     sha256(a || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || t) AS other, tampers FROM f),
+        l AS (SELECT doc_id, coalesce('l' || lang, '') AS part, leaf, CASE WHEN tampers THEN other ELSE leaf END AS shown,
+                     row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM g),
+        up AS (SELECT part, 0 AS level, pos, leaf AS h, n FROM l UNION ALL
+               SELECT part, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM up WHERE n > 1 GROUP BY part, level, pos // 2),
+        sub AS (SELECT part, h AS subroot, level AS height, row_number() OVER (ORDER BY part) - 1 AS place, count(*) OVER () AS parts FROM up WHERE n = 1),
+        crown AS (SELECT 0 AS level, place AS pos, subroot AS h, parts AS n FROM sub UNION ALL
+                  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM crown WHERE n > 1 GROUP BY level, pos // 2),
+        ends AS (SELECT max(level) AS top, max(h) FILTER (WHERE n = 1) AS root FROM crown),
+        steps AS (SELECT l.doc_id, l.leaf, l.pos AS own, l.part, k AS step, u.h, (l.pos >> k) % 2 = 1 AS sits_right FROM l JOIN sub USING (part), unnest(range(height)) r(k) LEFT JOIN up u ON u.part = l.part AND u.level = k AND u.pos = xor(l.pos >> k, 1)
+                  UNION ALL
+                  SELECT l.doc_id, l.leaf, l.pos, l.part, height + k, c.h, (place >> k) % 2 = 1 FROM l JOIN sub USING (part), ends, unnest(range(top)) r(k) LEFT JOIN crown c ON c.level = k AND c.pos = xor(place >> k, 1)),
+        proof AS (SELECT part, own, list(CASE WHEN h IS NULL THEN '' WHEN sits_right THEN 'L' || h ELSE 'R' || h END ORDER BY step) AS s FROM steps GROUP BY part, own),
+        folded AS (SELECT l.*, coalesce(s, []) AS s FROM l LEFT JOIN proof ON l.part = proof.part AND l.pos = own),
+        done AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x[2:]), '')) AS proof_sha256,
+                        list_reduce(s, lambda h, x: CASE WHEN x = '' THEN sha256(h) WHEN x[1] = 'L' THEN sha256(x[2:] || h) ELSE sha256(h || x[2:]) END, shown) AS folded_root
+                 FROM folded JOIN sub USING (part), ends)
+        SELECT *, folded_root = root AS verified FROM done""",
+    "op13_filtering_lloyd_codes": """
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT vec_id, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM k, range(16) r(part)),
+        b0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::INTEGER AS entry, x AS e FROM p QUALIFY entry < 64),
+        a1 AS (SELECT part, vec_id, any_value(x) AS x, min({d: list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, i: entry}) AS near FROM p JOIN b0 USING (part) GROUP BY part, vec_id),
+        m1 AS (SELECT part, near.i AS entry, c, sum(x[c]) AS s, count(*) AS n FROM a1, generate_series(1, len(x)) g(c) GROUP BY ALL),
+        n1 AS (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY c) AS e FROM m1 GROUP BY ALL),
+        b1 AS (SELECT part, entry, coalesce(n1.e, b0.e) AS e FROM b0 LEFT JOIN n1 USING (part, entry)),
+        a2 AS (SELECT part, vec_id, any_value(x) AS x, min({d: list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, i: entry}) AS near FROM p JOIN b1 USING (part) GROUP BY part, vec_id),
+        m2 AS (SELECT part, near.i AS entry, c, sum(x[c]) AS s, count(*) AS n FROM a2, generate_series(1, len(x)) g(c) GROUP BY ALL),
+        n2 AS (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY c) AS e FROM m2 GROUP BY ALL),
+        b2 AS (SELECT part, entry, coalesce(n2.e, b1.e) AS e FROM b1 LEFT JOIN n2 USING (part, entry)),
+        a3 AS (SELECT part, vec_id, min({d: list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, i: entry}) AS near FROM p JOIN b2 USING (part) GROUP BY part, vec_id),
+        o AS (SELECT vec_id, string_agg(printf('%02x', near.i), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a3 GROUP BY vec_id),
+        t AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT o.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), t""",
 }
 
 
