@@ -145,3 +145,92 @@ def test_hunks_of_a_condition_and_its_braced_body_are_tied(spark):
     groups, found, _ = untangle(spark.createDataFrame(rows, "case_id long, side string, path string, content string"))
     assert [(r.src, r.dst, r.etype) for r in found.distinct().collect()] == [(1, 0, "DEPEND")]
     assert {r.group_id for r in groups.collect()} == {0} and groups.count() == 2
+
+
+def calls(found):
+    return {(a.split(":")[0].split(".")[-1] + "@" + a.split("@")[1], b.split(":")[0] + "@" + b.split("@")[1]) for a, b in of(found, "METHOD_CALL")}
+
+
+def test_receivers_of_any_kind_have_types(spark):
+    code = """package p;
+class A { B v; B b() { return new B(); } static A make() { return null; } }
+class B extends Top { A a; A back() { return a; } void go(int n) { } void go(String s) { } }
+class Top { int depth; Top up() { return this; } }
+class Use {
+  A own;
+  A a() { return own; }
+  void m(A a, boolean c) {
+    a.b().go(1);
+    a().b().back().b().back().v.go("x");
+    a.v.a.v.go(a.v.depth);
+    this.own.b().go(2);
+    (c ? a.b() : a.v).go("y" + c);
+    ((B) a.v.up()).go(3);
+    A.make().b().up();
+    B x = a.b(); x.go(4);
+    x = a.v.back().v; x.go("z");
+    unknown().b().go(5);
+    new B() { }.go(6);
+    later.b().go(7);
+  }
+  A later;
+}
+"""
+    found = edges(spark, {"src/main/java/p/Use.java": code})
+    got = calls(found)
+    assert {x for x in got if x[0].startswith("go@")} == {("go@9", "B.go@3"), ("go@10", "B.go@3"), ("go@11", "B.go@3"), ("go@12", "B.go@3"), ("go@13", "B.go@3"), ("go@14", "B.go@3"), ("go@16", "B.go@3"), ("go@17", "B.go@3"), ("go@19", "B.go@3"), ("go@20", "B.go@3")}
+    assert {x for x in got if x[0].startswith(("up@", "make@", "back@"))} == {("up@14", "Top.up@4"), ("up@15", "Top.up@4"), ("make@15", "A.make@2"), ("back@10", "B.back@3"), ("back@17", "B.back@3")}
+    reads = {(a.split("Access@")[1], b.split(":")[0]) for a, b in of(found, "DEF_USE") if "Access" in a}
+    assert reads == {("10", "A.v"), ("11", "A.v"), ("11", "B.a"), ("11", "Top.depth"), ("13", "A.v"), ("14", "A.v"), ("17", "A.v")}
+
+
+def test_chains_of_ten_and_longer(spark):
+    n = 24
+    code = "package p;\n" + "\n".join(f"class C{i} {{ C{i + 1} next() {{ return null; }} C{i + 1} f; }}" for i in range(n)) + f"\nclass C{n} {{ void end() {{ }} }}\nclass U {{ void m(C0 c) {{\n c{'.next()' * n}.end();\n c{'.f' * n}.end();\n }} }}\n"
+    got = calls(edges(spark, {"src/main/java/p/C.java": code}))
+    assert got == {(f"next@{n + 4}", f"C{i}.next@{i + 2}") for i in range(n)} | {(f"end@{n + 4}", f"C{n}.end@{n + 2}"), (f"end@{n + 5}", f"C{n}.end@{n + 2}")}
+
+
+def test_type_arguments_are_put_in_place(spark):
+    code = """package p;
+import java.util.*;
+class B { void go() { } int n; }
+class Box<T extends B & Comparable<T>> { T held; T take() { return held; } Box<T> same() { return this; } void use() { held.go(); take().go(); } }
+class Pair<X, Y> { X first; Map<X, List<Y>> both() { return null; } }
+class Named<Z> extends Pair<String, Z> { }
+class Rows extends ArrayList<B> { void all() { get(0).go(); } }
+class Sub extends B { void go() { } }
+class Use {
+  List<B> all;
+  <Q extends B> void m(Box<Sub> box, Named<B> named, Map<String, List<B>> map, Box raw, Rows rows, Q q) {
+    all.get(0).go();
+    box.take().go();
+    box.same().same().held.go();
+    named.both().get("x").get(0).go();
+    for (Iterator<B> i = all.iterator(); i.hasNext(); ) { i.next().go(); }
+    List<B> made = new ArrayList<>(); made.get(0).go();
+    raw.take().go();
+    rows.get(1).go();
+    q.go();
+    map.entrySet().iterator().next().getValue().get(0).go();
+    int k = all.get(1).n;
+    List<? extends B> wild = all; wild.stream().filter(x -> true).findFirst().get().go();
+  }
+}
+"""
+    found = edges(spark, {"src/main/java/p/Use.java": code})
+    to_b = {(f"go@{n}", "B.go@3") for n in (4, 7, 12, 15, 16, 17, 18, 19, 20, 21, 23)}
+    # A call on Sub goes to its own method and to the one above.
+    assert {x for x in calls(found) if x[0].startswith("go@")} == to_b | {(f"go@{n}", b) for n in (13, 14) for b in ("B.go@3", "Sub.go@8")}
+    assert {b for a, b in of(found, "DEF_USE") if "Access@22" in a} == {"B.n:Variable@3"}
+
+
+def test_a_broken_member_costs_itself_only(spark):
+    p = "src/main/java/p/A.java"
+    text = "package p;\nclass A {\n  int f() { return %d; }\n\n\n\n\n  void broken( { int x = ; }\n\n\n\n\n  int g() { return f()+%d; }\n}\n"
+    rows = [(1, s, p, text % v) for s, v in (("L", (1, 1)), ("R", (2, 2)))]
+    nodes = parse_files(spark.createDataFrame(rows, "case_id long, side string, path string, content string"))
+    assert [(r.side, r.kind, r.line) for r in nodes.where("error IS NOT NULL").select("side", "kind", F.col("b.line").alias("line")).orderBy("side").collect()] == [("L", "Unread", 8), ("R", "Unread", 8)]
+    groups, found, failed = untangle(spark.createDataFrame(rows, "case_id long, side string, path string, content string"))
+    assert [(r.src, r.dst, r.etype) for r in found.distinct().collect()] == [(1, 0, "DEPEND")]
+    assert failed.count() == 0 and groups.count() == 2
