@@ -39,6 +39,27 @@ public class P{k} {extends}{{
 }}
 """
 
+#: A part's class of chains: Q<k> of package h<k mod 5> leads to Q<s>, whose number is one less but where k is divisible by 20.
+CHAINS = """package h{g};
+import java.util.*;
+{import_next}
+public class Q{k} {{ public static class Box<T> {{ T held; T take() {{ return held; }} }}
+  public Q{s} next;
+  public Box<Q{s}> boxed;
+  public Q{s} step() {{ return next; }}
+  public int end(int a) {{ return a; }}
+  public int end(String a) {{ return 0; }}
+  public void all(List<Q{k}> some, Map<String, List<Q{s}>> map) {{
+    step().end(1);
+    next.next.end("x");
+    some.get(0).end(2);
+    map.get("a").get(0).step().end(3);
+    boxed.take().next.end(4);
+    step().step().step().step().step().step().step().step().step().step().end(5);
+  }}
+}}
+"""
+
 
 def _filled(template: str, **values: Column) -> Column:
     parts, rest = [], template.replace("{{", "\1").replace("}}", "\2")
@@ -80,13 +101,28 @@ def java_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def java_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges between syntax nodes, counted by the lines and kinds that they tie."""
-    program = Program(parse_files(java_sources(spark, sf_dir)))
+    return _edge_counts(java_sources(spark, sf_dir))
+
+
+def _edge_counts(files: DataFrame) -> DataFrame:
+    program = Program(parse_files(files))
     n = program.nodes.select("case_id", "side", "key", _part("path").alias("part"), "kind", F.col("b.line").alias("line"))
     side = lambda c: n.select("case_id", "side", F.col("key").alias(f"{c}_id"), F.col("part").alias(f"{c}_part"), F.col("kind").alias(f"{c}_kind"), F.col("line").alias(f"{c}_line"))
     edges = program.edges().join(side("src"), ["case_id", "side", "src_id"]).join(side("dst"), ["case_id", "side", "dst_id"])
     return edges.groupBy("etype", "src_part", "src_kind", "src_line", "dst_part", "dst_kind", "dst_line").agg(F.count(F.lit(1)).alias("n"))
 
 
+def java_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls on calls, fields of fields and what is taken out of generic types lead to, counted by lines and kinds."""
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    s = F.when((k % 20) == 0, k).otherwise(k - 1)
+    next_ = F.when((k % 20) == 0, F.lit("// none")).otherwise(F.concat(F.lit("import h"), text(s % 5), F.lit(".Q"), text(s), F.lit(";")))
+    path = F.concat(F.lit("src/main/java/h"), text(k % 5), F.lit("/P"), text(k), F.lit(".java"))
+    files = table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("case_id"), F.lit("R").alias("side"), path.alias("path"), _filled(CHAINS, g=text(k % 5), k=text(k), s=text(s), import_next=next_).alias("content"))
+    return _edge_counts(files).where("etype IN ('METHOD_CALL', 'DEF_USE')")
+
+
 #: Both versions of a customer's file; the numbers in braces differ between them where a rule on the customer's key says so.
 CHANGED = """package u;
 class C {{
@@ -254,6 +290,16 @@ _EDGES = [
     _edge("METHOD_CALL", "Call@11", "Method@6", "top OR above <> k", frm=_UP, to="above"), _edge("METHOD_CALL", "Call@14", "Method@7", frm=_UP, to="above"), _edge("METHOD_CALL", "Call@15", "Method@6", frm=_UP, to="above"),
 ]
 
+#: s and t: what Q<k> leads to, and what that leads to; u<i>: what i steps lead to.
+_Q = "q AS (SELECT p_partkey AS k, greatest(p_partkey - 1, p_partkey - p_partkey % 20) AS s, greatest(p_partkey - 2, p_partkey - p_partkey % 20) AS t FROM part)"
+_CHAIN = [
+    _edge("DEF_USE", "Name@4", "Variable@4", frm="q"), _edge("DEF_USE", "Name@7", "Variable@5", frm="q"), _edge("DEF_USE", "Name@8", "Parameter@8", frm="q"), _edge("DEF_USE", "Name@12", "Variable@5", frm="q"), _edge("DEF_USE", "Access@12", "Variable@5", frm="q", to="s"),
+    _edge("DEF_USE", "Name@13", "Parameter@10", frm="q"), _edge("DEF_USE", "Name@14", "Parameter@10", frm="q"), _edge("DEF_USE", "Name@15", "Variable@6", frm="q"), _edge("DEF_USE", "Access@15", "Variable@5", frm="q", to="s"),
+    _edge("METHOD_CALL", "Call@11", "Method@7", frm="q"), _edge("METHOD_CALL", "Call@11", "Method@8", frm="q", to="s"), _edge("METHOD_CALL", "Call@12", "Method@9", frm="q", to="t"), _edge("METHOD_CALL", "Call@13", "Method@8", frm="q"),
+    _edge("METHOD_CALL", "Call@14", "Method@7", frm="q", to="s"), _edge("METHOD_CALL", "Call@14", "Method@8", frm="q", to="t"), _edge("METHOD_CALL", "Call@15", "Method@4", frm="q"), _edge("METHOD_CALL", "Call@15", "Method@8", frm="q", to="t"),
+    *[_edge("METHOD_CALL", "Call@16", "Method@7" if i < 10 else "Method@8", frm="q", to=f"greatest(k - {i}, k - k % 20)") for i in range(11)],
+]
+
 
 def _label(kind: str, line: int, label: str, where: str = "true") -> str:
     return f"SELECT k AS part, '{kind}' AS kind, {line} AS line, {label} AS label FROM p WHERE {where}"
@@ -275,6 +321,7 @@ _O = """o AS (SELECT o_custkey AS case_id, o_orderkey AS k, length('k' || o_orde
 SQL = {
     "java_nodes": f"WITH {_P} " + " UNION ALL ".join(_LABELS),
     "java_edges": f"WITH {_P} SELECT etype, src_part, src_kind, src_line, dst_part, dst_kind, dst_line, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(_EDGES) + ") GROUP BY ALL",
+    "java_chains": f"WITH {_Q} SELECT etype, src_part, src_kind, src_line, dst_part, dst_kind, dst_line, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(_CHAIN) + ") GROUP BY ALL",
     "untangled": f"WITH {_H} SELECT n.case_id, coalesce(dst, patch_id) AS group_id, patch_id, line FROM n LEFT JOIN t ON n.case_id = t.case_id AND patch_id = src",
     "untangled_edges": f"WITH {_H} SELECT * FROM t",
     "order_patches": f"""WITH {_O}, e AS (SELECT case_id, gap, min(l) AS lb, max(l) AS le, min(r) FILTER (changed) AS rb, max(r) FILTER (changed) AS re, min(r) AS r0 FROM x WHERE gone OR changed GROUP BY ALL)

@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df in tasks of about so many rows, for steps whose work its size in bytes doesn't tell.  A number that is asked for isn't coalesced."""
+    return df.repartition(max(1, min(100_000, -(-df.count() // rows))))
+
+
 def cleanup(spark: SparkSession) -> None:
     """Removes every intermediate; call it when results are written, since what reads them can't be computed again."""
     while _written:
