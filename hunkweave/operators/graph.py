@@ -1,8 +1,8 @@
 """Graph operators over (case_id, src, dst) edges and (case_id, patch_id) nodes.
 
 A case's graph is one composite commit's and small, so it is gathered into one row after the distinct edges were
-found, and a map over rows finds its components; cases are spread over all tasks.  ``weak_components_large`` takes one
-graph of any size through joins instead.
+found, and a map over rows finds its components; cases are spread over all tasks.  A case too large for that goes through
+joins instead (``large_graph``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from . import large_graph
+from .large_graph import SMALL, partition_large
 
 
 def add_edges(*edges: DataFrame) -> DataFrame:
@@ -117,16 +119,28 @@ def partition(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[str,
     return [("strong", g) for g in strong] + [("weak", g) for g in weak]
 
 
-def _partitioned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(case_id, group_id, patch_id, kind); group_id is the smallest member."""
-    pairs = successors(edges).where("src <> dst").groupBy("case_id").agg(F.collect_list("src").alias("srcs"), F.collect_list("dst").alias("dsts"))
-    held = add_nodes(nodes, edges).groupBy("case_id").agg(F.collect_list("patch_id").alias("ids")).join(pairs, "case_id", "left")
+def _partitioned(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(case_id, group_id, patch_id, kind); group_id is the smallest member.
+
+    A case of up to ``small`` edges is a row and one task's; larger ones go through joins.
+    """
+    pairs = written(successors(edges).where("src <> dst"), "pairs")
+    loops = edges.where("src = dst").select("case_id", F.col("src").alias("patch_id"))
+    rows = nodes.select("case_id", "patch_id").union(loops).select("case_id", "patch_id", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).union(pairs.select("case_id", F.lit(None).cast("long"), "src", "dst"))
+    large = pairs.groupBy("case_id").count().where(F.col("count") > small).select("case_id")
+    joined = None
+    if not large.isEmpty():
+        large = written(large, "large")
+        own = pairs.join(large, "case_id", "left_semi")
+        joined = partition_large(add_nodes(nodes.join(large, "case_id", "left_semi"), own), own, small)
+        rows = rows.join(large, "case_id", "left_anti")
+    held = rows.groupBy("case_id").agg(F.collect_list("patch_id").alias("ids"), F.collect_list("src").alias("srcs"), F.collect_list("dst").alias("dsts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cases, groups, members, kinds = [], [], [], []
             for case, ids, srcs, dsts in zip(*(b.column(c).to_pylist() for c in ("case_id", "ids", "srcs", "dsts"))):
-                for kind, own in partition(ids, list(zip(srcs or (), dsts or ()))):
+                for kind, own in partition(sorted({*ids, *srcs, *dsts}), list(zip(srcs, dsts))):
                     cases += [case] * len(own)
                     groups += [min(own)] * len(own)
                     members += own
@@ -134,7 +148,8 @@ def _partitioned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cases, pa.int64()), pa.array(groups, pa.int64()), pa.array(members, pa.int64()), pa.array(kinds, pa.string())], ["case_id", "group_id", "patch_id", "kind"])
 
     longs = held.select(F.col("case_id").cast("long"), F.col("ids").cast("array<bigint>"), F.col("srcs").cast("array<bigint>"), F.col("dsts").cast("array<bigint>"))
-    return longs.mapInArrow(run, "case_id long, group_id long, patch_id long, kind string")
+    out = longs.mapInArrow(run, "case_id long, group_id long, patch_id long, kind string")
+    return out if joined is None else out.unionByName(joined)
 
 
 def partition_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,19 +171,8 @@ def weak_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def weak_components_large(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of one graph too large for a row, by joins: every node takes the least label around it, then its label's label."""
-    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
-    labels = written(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root")).select(F.col("src").alias("node"), "root"), "labels")
-    last = None
-    for _ in range(rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("root").alias("near"))
-        hop = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = written(labels.join(near, labels.node == near.src).join(hop, "root").select("node", F.least("near", "next").alias("root")), "labels")
-        state = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if state == last:
-            return labels
-        last = state
-    raise RuntimeError("labels did not settle")
+    """(node, root) of one graph too large for a row, by joins."""
+    return large_graph.weak_components_large(edges.select(F.lit(0).alias("case_id"), "src", "dst"), rounds).select("node", "root")
 
 
 def group_report(groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import diff, graph, joins, sequence
+from ..operators import diff, graph, joins, large_graph, sequence
 from ..sources import sinks
 from ..sources.tables import table, written
 
@@ -57,6 +57,12 @@ def scc_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.scc_groups(*_graph(spark, sf_dir))
 
 
+def scc_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups by joins, as a case of any size has them."""
+    edges = _graph(spark, sf_dir)[1]
+    return large_graph.strong_components_large(edges, small=0).select("case_id", F.col("root").alias("group_id"), F.col("node").alias("patch_id"))
+
+
 def weak_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.weak_groups(*_graph(spark, sf_dir))
 
@@ -227,6 +233,7 @@ def word_diff_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "group_partition": f"WITH RECURSIVE {PARTS} SELECT case_id, g AS group_id, n AS patch_id FROM s UNION ALL SELECT case_id, g, n FROM k",
     "scc_groups": f"WITH RECURSIVE {PARTS} SELECT case_id, g AS group_id, n AS patch_id FROM s",
+    "scc_joined": f"WITH RECURSIVE {PARTS} SELECT case_id, g AS group_id, n AS patch_id FROM s",
     "weak_groups": f"WITH RECURSIVE {PARTS} SELECT case_id, g AS group_id, n AS patch_id FROM k",
     "distinct_edges": f"WITH {GRAPH} SELECT case_id, src, dst, 'DEPEND' AS etype FROM e",
     "degrees": f"WITH {GRAPH}, o AS (SELECT case_id, src AS n, count(*) AS c FROM e GROUP BY ALL), i AS (SELECT case_id, dst AS n, count(*) AS c FROM e GROUP BY ALL) SELECT case_id, n AS patch_id, coalesce(o.c, 0) AS n_out, coalesce(i.c, 0) AS n_in FROM v LEFT JOIN o USING (case_id, n) LEFT JOIN i USING (case_id, n)",
