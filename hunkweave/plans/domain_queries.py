@@ -188,6 +188,26 @@ def order_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("case_id", "patch_id", *[F.col(f"{s}.{e}").cast("long").alias(f"{s}_{e}") for s in ("left", "right") for e in ("begin", "end")])
 
 
+def order_patches_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hunks by joins, as files of any size have them."""
+    p = diff.line_patches(_files(spark, sf_dir), ["case_id"], small=0)
+    return p.select("case_id", "patch_id", *[F.col(f"{s}.{e}").cast("long").alias(f"{s}_{e}") for s in ("left", "right") for e in ("begin", "end")])
+
+
+def repeated_line_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as blocks of three lines, two of which repeat; some blocks go from every other customer, the first line of some changes with the rest."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("key"), "o_orderstatus")
+    block = lambda extra: F.concat(F.lit("order "), F.col("key").cast("string"), extra, F.lit(" {\n  status "), "o_orderstatus", F.lit("\n}"))
+    even = F.col("case_id") % 2 == 0
+    now = block(F.when(~even & (F.col("key") % 7 == 0), F.lit(" changed")).otherwise(""))
+    text = lambda c, ok: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("key", c.alias("line"))))), lambda r: r["line"]), "\n")
+    rows = o.groupBy("case_id").agg(text(block(F.lit("")), F.lit(True)).alias("left_content"), text(now, ~even | (F.col("key") % 5 != 0)).alias("right_content"))
+    path = F.lit("src/main/java/Orders.java")
+    files = rows.select("case_id", F.lit("MODIFY").alias("change_type"), path.alias("left_path"), path.alias("right_path"), "left_content", "right_content")
+    p = diff.line_patches(files, ["case_id"], small=0)
+    return p.select("case_id", "patch_id", *[F.col(f"{s}.{e}").cast("long").alias(f"{s}_{e}") for s in ("left", "right") for e in ("begin", "end")])
+
+
 def order_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = written(_files(spark, sf_dir), "files")
     patches = written(diff.line_patches(files, ["case_id"]), "patches")
@@ -326,6 +346,12 @@ SQL = {
     "untangled_edges": f"WITH {_H} SELECT * FROM t",
     "order_patches": f"""WITH {_O}, e AS (SELECT case_id, gap, min(l) AS lb, max(l) AS le, min(r) FILTER (changed) AS rb, max(r) FILTER (changed) AS re, min(r) AS r0 FROM x WHERE gone OR changed GROUP BY ALL)
         SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY gap) - 1 AS patch_id, lb AS left_begin, le AS left_end, coalesce(rb, r0 + 1) AS right_begin, coalesce(re, r0) AS right_end FROM e""",
+    "order_patches_joined": f"""WITH {_O}, e AS (SELECT case_id, gap, min(l) AS lb, max(l) AS le, min(r) FILTER (changed) AS rb, max(r) FILTER (changed) AS re, min(r) AS r0 FROM x WHERE gone OR changed GROUP BY ALL)
+        SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY gap) - 1 AS patch_id, lb AS left_begin, le AS left_end, coalesce(rb, r0 + 1) AS right_begin, coalesce(re, r0) AS right_end FROM e""",
+    "repeated_line_patches": """WITH o AS (SELECT o_custkey AS case_id, o_orderkey AS k, o_custkey % 2 = 0 AND o_orderkey % 5 = 0 AS gone, o_custkey % 2 = 1 AND o_orderkey % 7 = 0 AS changed FROM orders),
+        x AS (SELECT *, row_number() OVER c AS l, count(*) FILTER (NOT gone) OVER (c ROWS UNBOUNDED PRECEDING) AS r FROM o WINDOW c AS (PARTITION BY case_id ORDER BY k)),
+        e AS (SELECT case_id, 3 * min(l) - 2 AS lb, 3 * max(l) AS le, 3 * r + 1 AS rb, 3 * r AS re FROM x WHERE gone GROUP BY case_id, r UNION ALL SELECT case_id, 3 * l - 2, 3 * l - 2, 3 * l - 2, 3 * l - 2 FROM x WHERE changed)
+        SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY lb) - 1 AS patch_id, lb AS left_begin, le AS left_end, rb AS right_begin, re AS right_end FROM e""",
     "order_word_spans": f"""WITH {_O} SELECT case_id, 'L' AS side, l AS line, CASE WHEN gone THEN 1 ELSE w + 3 END AS "begin", w + 2 + v AS "end" FROM x WHERE gone OR changed
         UNION ALL SELECT case_id, 'R', r, w + 2, w + 8 FROM x WHERE changed""",
     "mined_chains": """WITH RECURSIVE f AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity::BIGINT % 7) AS h,
