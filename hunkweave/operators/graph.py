@@ -107,58 +107,74 @@ def weak_components(nodes: list[int], pairs: list[tuple[int, int]]) -> list[list
     return list(held.values())
 
 
-def partition(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[str, list[int]]]:
-    """("strong", members) and ("weak", members): strong components, and weak ones of what is left without the edges to them."""
+def partition(nodes: list[int], pairs: list[tuple[int, int]], classes: list[list[int]] | None = None) -> list[tuple[str, list[int]]]:
+    """("strong", members) and ("weak", members): strong components, and weak ones of what is left without the edges to them.
+
+    classes: nodes of which each has an edge to all smaller ones.  What these edges reach, and what they tie of any of them, a chain from
+    each node to the next smaller one does too, so the pairs are never made.
+    """
     out: dict[int, list[int]] = {}
-    for a, b in pairs:
+    chains = [sorted(set(c)) for c in classes or ()]
+    for a, b in [*pairs, *((b, a) for c in chains for a, b in zip(c, c[1:]))]:
         out.setdefault(a, []).append(b)
     strong = strong_components(nodes, out)
     taken = {v for g in strong for v in g}
     rest = [v for v in nodes if v not in taken]
-    weak = weak_components(rest, [(a, b) for a, b in pairs if a not in taken and b not in taken])
+    left = [[v for v in c if v not in taken] for c in chains]
+    weak = weak_components(rest, [(a, b) for a, b in [*pairs, *(x for c in left for x in zip(c, c[1:]))] if a not in taken and b not in taken])
     return [("strong", g) for g in strong] + [("weak", g) for g in weak]
 
 
-def _partitioned(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def _partitioned(nodes: DataFrame, edges: DataFrame, small: int = SMALL, classes: DataFrame | None = None) -> DataFrame:
     """(case_id, group_id, patch_id, kind); group_id is the smallest member.
 
-    A case of up to ``small`` edges is a row and one task's; larger ones go through joins.
+    classes: (case_id, class_id, patch_id), whose every hunk has an edge to each smaller one of its class.  A case of up to ``small`` edges is a row and one task's; larger ones go through joins.
     """
     pairs = written(successors(edges).where("src <> dst"), "pairs")
     loops = edges.where("src = dst").select("case_id", F.col("src").alias("patch_id"))
-    rows = nodes.select("case_id", "patch_id").union(loops).select("case_id", "patch_id", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).union(pairs.select("case_id", F.lit(None).cast("long"), "src", "dst"))
-    large = pairs.groupBy("case_id").count().where(F.col("count") > small).select("case_id")
+    none = F.lit(None).cast("long")
+    rows = nodes.select("case_id", "patch_id").union(loops).select("case_id", "patch_id", none.alias("src"), none.alias("dst"), none.alias("class_id")).union(pairs.select("case_id", none, "src", "dst", none))
+    if classes is not None:
+        rows = rows.union(classes.select("case_id", "patch_id", none, none, "class_id"))
+    counted = pairs.select("case_id") if classes is None else pairs.select("case_id").union(classes.select("case_id"))
+    large = counted.groupBy("case_id").count().where(F.col("count") > small).select("case_id")
     joined = None
     if not large.isEmpty():
         large = written(large, "large")
         own = pairs.join(large, "case_id", "left_semi")
-        joined = partition_large(add_nodes(nodes.join(large, "case_id", "left_semi"), own), own, small)
+        tied = None if classes is None else classes.join(large, "case_id", "left_semi")
+        all_nodes = nodes.join(large, "case_id", "left_semi")
+        joined = partition_large(add_nodes(all_nodes if tied is None else all_nodes.select("case_id", "patch_id").union(tied.select("case_id", "patch_id")), own), own, small, tied)
         rows = rows.join(large, "case_id", "left_anti")
-    held = rows.groupBy("case_id").agg(F.collect_list("patch_id").alias("ids"), F.collect_list("src").alias("srcs"), F.collect_list("dst").alias("dsts"))
+    held = rows.groupBy("case_id").agg(F.collect_list("patch_id").alias("ids"), F.collect_list("src").alias("srcs"), F.collect_list("dst").alias("dsts"), F.collect_list(F.when(F.col("class_id").isNotNull(), F.struct(F.col("class_id").cast("long").alias("c"), F.col("patch_id").cast("long").alias("p")))).alias("classes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cases, groups, members, kinds = [], [], [], []
-            for case, ids, srcs, dsts in zip(*(b.column(c).to_pylist() for c in ("case_id", "ids", "srcs", "dsts"))):
-                for kind, own in partition(sorted({*ids, *srcs, *dsts}), list(zip(srcs, dsts))):
+            for case, ids, srcs, dsts, tied in zip(*(b.column(c).to_pylist() for c in ("case_id", "ids", "srcs", "dsts", "classes"))):
+                held: dict[int, list[int]] = {}
+                for x in tied:
+                    held.setdefault(x["c"], []).append(x["p"])
+                for kind, own in partition(sorted({*ids, *srcs, *dsts}), list(zip(srcs, dsts)), list(held.values())):
                     cases += [case] * len(own)
                     groups += [min(own)] * len(own)
                     members += own
                     kinds += [kind] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(cases, pa.int64()), pa.array(groups, pa.int64()), pa.array(members, pa.int64()), pa.array(kinds, pa.string())], ["case_id", "group_id", "patch_id", "kind"])
 
-    longs = held.select(F.col("case_id").cast("long"), F.col("ids").cast("array<bigint>"), F.col("srcs").cast("array<bigint>"), F.col("dsts").cast("array<bigint>"))
+    longs = held.select(F.col("case_id").cast("long"), F.col("ids").cast("array<bigint>"), F.col("srcs").cast("array<bigint>"), F.col("dsts").cast("array<bigint>"), "classes")
     out = longs.mapInArrow(run, "case_id long, group_id long, patch_id long, kind string")
     return out if joined is None else out.unionByName(joined)
 
 
-def partition_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def partition_groups(nodes: DataFrame, edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(case_id, group_id, patch_id): every node in one group.
 
     Strong components of two nodes or more are groups; the rest are weakly connected components of the graph that is left
-    without them, so a node that only touches a strong component stays outside it.
+    without them, so a node that only touches a strong component stays outside it.  classes: as ``joins.trivial_classes`` gives them, in place of
+    the edges between all their hunks.
     """
-    return _partitioned(nodes, edges).drop("kind")
+    return _partitioned(nodes, edges, classes=classes).drop("kind")
 
 
 def scc_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -86,6 +86,15 @@ def trivial_edges(trivial: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where("src > dst")
 
 
+def trivial_classes(trivial: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, class_id, patch_id, n): the same edges as a class of n hunks for each keys, known by its smallest hunk; its size grows with the hunks.
+
+    ``graph.partition_groups`` reads classes in place of their pairs.
+    """
+    sizes = trivial.groupBy(*keys).agg(F.min("patch_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return trivial.join(sizes, keys).select(*keys, "class_id", "patch_id", "n")
+
+
 SHINGLE = 3
 _WHITE = re.compile("[ \t\n\x0b\f\r]+")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -173,9 +173,19 @@ def weak_components_large(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def partition_large(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """(case_id, group_id, patch_id, kind) as ``graph.partition_groups`` gives them, of cases of any size.  nodes hold the ends of all edges."""
-    strong = written(strong_components_large(edges, small), "strong")
+def chain_edges(classes: DataFrame) -> DataFrame:
+    """(case_id, src, dst) from each member of a class (case_id, class_id, patch_id) to the next smaller one."""
+    below = F.lag("patch_id").over(Window.partitionBy("case_id", "class_id").orderBy("patch_id"))
+    return classes.select("case_id", F.col("patch_id").alias("src"), below.alias("dst")).where("dst IS NOT NULL")
+
+
+def partition_large(nodes: DataFrame, edges: DataFrame, small: int = SMALL, classes: DataFrame | None = None) -> DataFrame:
+    """(case_id, group_id, patch_id, kind) as ``graph.partition_groups`` gives them, of cases of any size.  nodes hold the ends of all edges and the members of all classes."""
+    edges = edges.select(*EDGE)
+    strong = written(strong_components_large(edges if classes is None else edges.union(chain_edges(classes)), small), "strong")
+    if classes is not None:
+        left = classes.join(_on(strong, "patch_id"), ["case_id", "patch_id"], "left_anti")
+        edges = edges.union(chain_edges(left))
     rest = written(nodes.select("case_id", F.col("patch_id").alias("node")).join(strong, NODE, "left_anti"), "rest")
     free = edges.where("src <> dst").join(_on(rest, "src"), ["case_id", "src"], "left_semi").join(_on(rest, "dst"), ["case_id", "dst"], "left_semi")
     weak = weak_components_large(free)

@@ -236,6 +236,11 @@ def mined_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.mine_chains(commits(spark, sf_dir)).select("repo", F.col("case_id").cast("long").alias("case_id"), F.array_join("hashes", " ").alias("hashes"))
 
 
+def mined_chains_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chains with histories cut into blocks of four commits, as long ones are cut into larger blocks."""
+    return sequence.mine_chains(commits(spark, sf_dir), block=4).select("repo", F.col("case_id").cast("long").alias("case_id"), F.array_join("hashes", " ").alias("hashes"))
+
+
 def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -363,6 +368,15 @@ SQL = {
               FROM (SELECT c.*, g.len, g.old, g.new, g.segment, g.len <= 5 AND c.one AND c.n BETWEEN 1 AND 3 AND c.h <= 5 AND NOT list_has_any(c.a, g.new) AND NOT list_has_any(c.b, g.old) AS ok FROM g JOIN c ON c.repo = g.repo AND c.seq = g.seq + 1)),
         s AS (SELECT repo, segment, string_agg(sha, ' ' ORDER BY seq) AS hashes FROM g GROUP BY ALL HAVING count(*) > 2)
         SELECT repo::VARCHAR AS repo, row_number() OVER (PARTITION BY repo ORDER BY segment) - 1 AS case_id, hashes FROM s""",
+    "mined_chains_in_blocks": """WITH RECURSIVE f AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity::BIGINT % 7) AS h,
+              coalesce(list(DISTINCT 'F' || l_partkey % 40) FILTER (l_returnflag <> 'A'), []) AS a, coalesce(list(DISTINCT 'F' || l_suppkey % 40) FILTER (l_returnflag <> 'R'), []) AS b FROM lineitem GROUP BY l_orderkey),
+        c AS (SELECT o_custkey AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, substr(md5(o_orderkey::VARCHAR), 1, 10) AS sha, o_orderstatus <> 'P' AS one,
+                coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(a, []) AS a, coalesce(b, []) AS b FROM orders LEFT JOIN f ON o_orderkey = k),
+        g AS (SELECT repo, seq, sha, 1 AS len, []::VARCHAR[] AS old, []::VARCHAR[] AS new, 0 AS segment FROM c WHERE seq = 1
+              UNION ALL SELECT repo, seq, sha, CASE WHEN ok THEN len + 1 ELSE 1 END, CASE WHEN ok THEN list_concat(old, a) ELSE [] END, CASE WHEN ok THEN list_concat(new, b) ELSE [] END, CASE WHEN ok THEN segment ELSE segment + 1 END
+              FROM (SELECT c.*, g.len, g.old, g.new, g.segment, g.len <= 5 AND c.one AND c.n BETWEEN 1 AND 3 AND c.h <= 5 AND NOT list_has_any(c.a, g.new) AND NOT list_has_any(c.b, g.old) AS ok FROM g JOIN c ON c.repo = g.repo AND c.seq = g.seq + 1)),
+        s AS (SELECT repo, segment, string_agg(sha, ' ' ORDER BY seq) AS hashes FROM g GROUP BY ALL HAVING count(*) > 2)
+        SELECT repo::VARCHAR AS repo, row_number() OVER (PARTITION BY repo ORDER BY segment) - 1 AS case_id, hashes FROM s""",
     "continuations": "SELECT o_custkey::VARCHAR AS repo, row_number() OVER w AS seq, o_orderstatus <> 'P' AND row_number() OVER w > 1 AS continues, substr(md5(o_orderkey::VARCHAR), 1, 10) AS short FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
     "nodes_inside": "WITH n AS (SELECT *, l_suppkey + l_quantity::BIGINT % 9 AS e FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM n WHERE l_returnflag <> 'R' AND EXISTS (SELECT 1 FROM n r WHERE r.l_orderkey = n.l_orderkey AND r.l_returnflag = 'R' AND n.l_suppkey <= r.l_suppkey + 3 AND n.e >= r.l_suppkey)",
     "group_report": "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_groups, count(*) AS n_members, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) GROUP BY o_custkey",

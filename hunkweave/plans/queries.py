@@ -120,6 +120,17 @@ def trivial_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.trivial_edges(_trivial(spark, sf_dir), ["case_id"])
 
 
+def trivial_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a customer's orders: trivial ones are a class, and each order on hold needs the next order."""
+    from pyspark.sql import Window
+
+    trivial = _trivial(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("patch_id"), "o_orderstatus")
+    after = F.lead("patch_id").over(Window.partitionBy("case_id").orderBy("patch_id"))
+    edges = orders.select("case_id", F.col("patch_id").alias("src"), after.alias("dst"), F.lit("DEPEND").alias("etype"), "o_orderstatus").where("dst IS NOT NULL AND o_orderstatus = 'O'").drop("o_orderstatus")
+    return graph.partition_groups(orders.select("case_id", "patch_id"), edges, joins.trivial_classes(trivial, ["case_id"]))
+
+
 def refactoring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("ref_id"), F.col("l_partkey").alias("patch_id"))
     return joins.refactoring_edges(rows)
@@ -258,6 +269,10 @@ SQL = {
         SELECT lang, source, src, dst FROM o JOIN m x ON src = x.id JOIN m y ON dst = y.id WHERE dot * dot * 400 >= 289 * x.q * y.q""",
     "trivial_hunks": "SELECT o_custkey AS case_id, o_orderkey AS patch_id FROM orders WHERE o_orderpriority[1] IN ('1', '5') OR o_orderstatus = 'P'",
     "trivial_edges": "WITH t AS (SELECT o_custkey AS case_id, o_orderkey AS p FROM orders WHERE o_orderpriority[1] IN ('1', '5') OR o_orderstatus = 'P') SELECT a.case_id, a.p AS src, b.p AS dst FROM t a JOIN t b ON a.case_id = b.case_id AND a.p > b.p",
+    "trivial_partition": """WITH RECURSIVE z AS (SELECT o_custkey AS case_id, o_orderkey AS n FROM orders WHERE o_orderpriority[1] IN ('1', '5') OR o_orderstatus = 'P'),
+        v AS (SELECT o_custkey AS case_id, o_orderkey AS n FROM orders),
+        y AS (SELECT o_custkey AS case_id, o_orderkey AS src, o_orderstatus, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM orders),
+        e AS (SELECT case_id, src, dst FROM y WHERE dst IS NOT NULL AND o_orderstatus = 'O' UNION SELECT a.case_id, a.n, b.n FROM z a JOIN z b ON a.case_id = b.case_id AND a.n > b.n)""" + PARTS[len(GRAPH):] + " SELECT case_id, g AS group_id, n AS patch_id FROM s UNION ALL SELECT case_id, g, n FROM k",
     "refactoring_edges": "WITH d AS (SELECT DISTINCT l_orderkey AS case_id, l_returnflag AS r, l_partkey AS p FROM lineitem), n AS (SELECT case_id, p, (SELECT max(x.p) FROM d x WHERE x.case_id = d.case_id AND x.r = d.r AND x.p < d.p) AS q FROM d) SELECT DISTINCT * FROM (SELECT case_id, q AS src, p AS dst FROM n WHERE q IS NOT NULL UNION ALL SELECT case_id, p, q FROM n WHERE q IS NOT NULL)",
     "tree_diff": """WITH n AS (SELECT year(l_shipdate) AS y, l_partkey AS p, count(*) AS c FROM lineitem GROUP BY ALL),
         l AS (SELECT y, p, c AS a FROM n), r AS (SELECT y - 1 AS y, p, c AS b FROM n),

@@ -64,8 +64,8 @@ def moved_code(regions: DataFrame) -> DataFrame:
     return both.select("case_id", F.xxhash64("body").alias("ref_id"), F.explode("p").alias("patch_id"))
 
 
-def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((case_id, src, dst, etype), failed (case_id, error))."""
+def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((case_id, src, dst, etype) without trivial ones, trivial hunks (case_id, path, patch_id), failed (case_id, error))."""
     sides = [entries.where(F.col(f"{s}_path").isNotNull()).select("case_id", F.lit(m).alias("side"), F.col(f"{s}_path").alias("path"), F.col(f"{s}_content").alias("content")) for s, m in (("left", "L"), ("right", "R"))]
     kept = regions.where("end >= begin").select("case_id", "side", "path").distinct()
     files = sides[0].union(sides[1]).dropDuplicates(["case_id", "side", "path"]).join(kept, ["case_id", "side", "path"], "left_semi")
@@ -82,10 +82,10 @@ def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans
     depend = joins.cover_lift(cover, edges.select("case_id", "src_id", "dst_id")).withColumn("etype", F.lit("DEPEND"))
     trivial = joins.trivial_hunks(regions, spans, CASE)
     sided = patches.select("case_id", "patch_id", F.coalesce("right.path", "left.path").alias("path"))
-    textual = joins.trivial_edges(trivial.join(sided, ["case_id", "patch_id"]), ["case_id", "path"]).select("case_id", "src", "dst").withColumn("etype", F.lit("TRIVIAL"))
+    textual = written(trivial.join(sided, ["case_id", "patch_id"]).select("case_id", "path", "patch_id"), "trivial")
     clones = hunk_clones(regions).withColumn("etype", F.lit("CLONE"))
     moves = joins.refactoring_edges(moved_code(regions)).withColumn("etype", F.lit("REFACTOR"))
-    return graph.add_edges(depend, clones, textual, moves), failed
+    return graph.add_edges(depend, clones, moves), textual, failed
 
 
 def untangle(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,10 +97,14 @@ def untangle(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     patches = written(diff.line_patches(entries, CASE), "patches")
     regions = written(diff.regions(patches, entries, CASE), "regions")
     spans = written(diff.token_spans(regions, CASE), "spans")
-    edges, failed = hunk_edges(entries, patches, regions, spans)
+    edges, trivial, failed = hunk_edges(entries, patches, regions, spans)
     edges, failed = written(edges, "edges"), written(failed, "failed")
-    ok = patches.join(failed, "case_id", "left_anti")
-    groups = graph.partition_groups(ok.select("case_id", "patch_id"), edges.join(failed, "case_id", "left_anti"))
+    ok = lambda df: df.join(failed, "case_id", "left_anti")
+    classes = joins.trivial_classes(trivial, ["case_id", "path"])
+    groups = graph.partition_groups(ok(patches).select("case_id", "patch_id"), ok(edges), ok(classes))
+    # Pairs of trivial hunks are for whoever asks for the edges; the partition reads classes.
+    pairs = joins.trivial_edges(trivial, ["case_id", "path"]).select("case_id", "src", "dst", F.lit("TRIVIAL").alias("etype"))
+    edges = graph.add_edges(edges, pairs)
     sides = patches.select(F.col("case_id").cast("long"), F.col("patch_id").cast("long"), "left", "right")
     return groups.join(sides, ["case_id", "patch_id"]), edges, failed
 

@@ -56,3 +56,15 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], EDGES)
     assert large_graph.strong_components_large(none).count() == 0
     assert {tuple(r) for r in graph.partition_groups(spark.createDataFrame([(1, 4)], "case_id long, patch_id long"), none).collect()} == {(1, 4, 4)}
+
+
+@pytest.mark.parametrize("small", [0, large_graph.SMALL])
+def test_classes_stand_for_all_their_pairs(spark, small):
+    r = random.Random(9)
+    classes = [(c, k, v) for c in range(6) for k in range(2) for v in r.sample(range(20), r.randrange(2, 7))]
+    edges = [(c, r.randrange(20), r.randrange(20)) for c in range(6) for _ in range(9)]
+    pairs = [(c, a, b) for c, k, a in classes for d, m, b in classes if (c, k) == (d, m) and a > b]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(2)
+    nodes = df([(c, v) for c in range(6) for v in range(20)], "case_id long, patch_id long")
+    rows = lambda x: {tuple(y) for y in x.select("case_id", "group_id", "patch_id", "kind").collect()}
+    assert rows(graph._partitioned(nodes, df(edges, EDGES), small, df(classes, "case_id long, class_id long, patch_id long"))) == rows(graph._partitioned(nodes, df(edges + pairs, EDGES)))

@@ -209,3 +209,19 @@ def test_span_join_equals_the_plain_condition(spark):
     lines = nodes.select("id", "f", F.col("b.line").alias("b_line"), F.col("e.line").alias("e_line"))
     regions = spark.createDataFrame([(0, 10, 20), (0, 300, 299)], "f int, begin int, end int")
     assert {r.id for r in inside(lines, regions, ["f"], ["id"]).collect()} == {x[0] for x in rows if x[2][0] <= 20 and x[3][0] >= 10}
+
+
+def test_chains_of_a_long_history_are_the_same_in_blocks(spark):
+    import random
+
+    r = random.Random(5)
+    file = lambda: {"a_path": r.choice("abcdefgh"), "b_path": r.choice("abcdefgh"), "n_hunks": r.randrange(7), "valid": r.random() < 0.9}
+    rows = []
+    for repo, n in (("x", 400), ("y", 1), ("z", 37)):
+        for i in range(n):
+            rows.append((repo, i + 3, f"{repo}{i}", [f"{repo}{i - 1}"] if i and r.random() < 0.9 else [], [file() for _ in range(r.choice([0, 1, 1, 1, 2, 2, 3, 4]))]))
+    commits = spark.createDataFrame(rows, "repo string, seq long, sha string, parents array<string>, diffs array<struct<a_path:string,b_path:string,n_hunks:long,valid:boolean>>").repartition(3)
+    carry = ["sha", "parents", "diffs"]
+    want = {tuple(x) for x in sequence.greedy_segments(commits, ["repo"], ["seq"], carry, sequence.MinerChain, "repo string, seq long, segment long").collect()}
+    for block in (7, 16, 4096):
+        assert {tuple(x) for x in sequence.pointer_segments(commits, ["repo"], "seq", carry, sequence.MinerChain, 5, block).collect()} == want
