@@ -65,22 +65,57 @@ def capture(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive of gzip members, one in memory at a time."""
-    z, plain, rest = zlib.decompressobj(31), [], b""
-    while chunk := rest or stream.read(1 << 20):
+    """(header fields, block) of each record of an archive of gzip members, one in memory at a time.
+
+    A member may hold several records, and a record several members.  A block that isn't as long as its Content-Length says, an
+    archive that ends inside a record or a member, and what isn't a record at all are a ValueError.
+    """
+    z, rest, held = None, b"", bytearray()
+
+    def more() -> bool:
+        """Whether there was more to read; it is in ``held``."""
+        nonlocal z, rest
+        chunk = rest or stream.read(1 << 20)
         rest = b""
-        plain.append(z.decompress(chunk))
+        if not chunk:
+            if z is not None:
+                raise ValueError("the archive ends inside a gzip member")
+            return False
+        z = z or zlib.decompressobj(31)
+        held.extend(z.decompress(chunk))
         if z.eof:
-            raw, rest = b"".join(plain), z.unused_data
-            head, _, block = raw.partition(b"\r\n\r\n")
-            lines = head.decode().split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError("not a WARC record")
-            fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            yield fields, block[: int(fields["Content-Length"])]
-            z, plain = zlib.decompressobj(31), []
-    if plain and b"".join(plain):
-        raise ValueError("the archive ends inside a record")
+            z, rest = None, z.unused_data
+        return True
+
+    while True:
+        while (at := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held:
+                    raise ValueError("the archive ends inside a record")
+                return
+        lines = held[:at].decode().split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        begin = at + 4
+        end = begin + int(fields["Content-Length"])
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the block of {fields.get('WARC-Record-ID')} isn't as long as its Content-Length")
+        block = bytes(held[begin:end])
+        del held[: end + 4]
+        yield fields, block
+
+
+def _page_id(fields: dict[str, str], block: bytes) -> int | None:
+    """The page that a metadata record of ours names; others name none."""
+    try:
+        about = json.loads(block) if "json" in fields.get("Content-Type", "") else None
+    except ValueError:
+        return None
+    page = about.get("page_id") if isinstance(about, dict) else None
+    return page if isinstance(page, int) else None
 
 
 def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -127,7 +162,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives that a manifest lists, in RECORD's columns; an empty manifest gives none.
 
     payload_bytes and digest are those of the payload that was read, null for a revisit, which has none.  A payload that differs from
-    its record's digest ends the job.  payloads: False leaves the payloads themselves out (null).
+    its record's digest ends the job, a damaged archive too.  page_id is null where metadata names no page, as in archives of others.  payloads: False leaves the payloads themselves out (null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +178,11 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                             head, _, payload = block.partition(b"\r\n\r\n")
                             headers = head.decode()
                         elif kind == "metadata":
-                            page = json.loads(block)["page_id"]
+                            page = _page_id(f, block)
                         if kind == "response":
                             digest, n = sha1_base32(payload), len(payload)
-                            if f.get("WARC-Payload-Digest", f"sha1:{digest}") != f"sha1:{digest}":
+                            told = f.get("WARC-Payload-Digest", "")  # other digests than bare SHA-1 aren't checked
+                            if told.startswith("sha1:") and len(told) == 37 and told != f"sha1:{digest}":
                                 raise ValueError(f"{path}: the payload of {f['WARC-Record-ID']} is damaged")
                         size += len(payload)
                         rows.append((path, seq, kind, f["WARC-Record-ID"], f.get("WARC-Concurrent-To"), f.get("WARC-Refers-To"), page, f.get("WARC-Target-URI"), f.get("WARC-Date"), digest, n, headers, payload if payloads else None))
