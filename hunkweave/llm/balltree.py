@@ -111,8 +111,13 @@ def _meet(k: int):
 
 
 def quantized(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, v): floor(scale * x) of each component, packed as longs; rows with null or non-finite parts left out."""
+    """(id, dim, v): floor(scale * x) of each component, packed as longs.
+
+    Rows with null or non-finite parts are left out, and those with components so large that an inner product might not fit a long.
+    """
     v = F.col(vector_col)
+    most = F.array_max(F.transform(v, lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double"))))
+    fits = F.coalesce(most * most * F.size(v) < float(1 << 62), F.size(v) == 0)
     whole = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +127,15 @@ def quantized(vectors: DataFrame, scale: float, id_col: str, vector_col: str) ->
             parts = np.split(np.floor(scale * flat.astype(np.float64)).astype("<i8"), ends[:-1]) if len(ends) else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "dim", "v"])
 
-    return vectors.where(whole).select(F.col(id_col).cast("long"), v).mapInArrow(run, "id long, dim int, v binary")
+    return vectors.where(whole).where(fits).select(F.col(id_col).cast("long"), v).mapInArrow(run, "id long, dim int, v binary")
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each row whose id is divisible by ``every``.
 
     Candidates are all rows but those with the query's own id, with as many components as the query; ties go to
-    smaller ids; a row that is repeated is a candidate as often.  Rows whose id is null, or whose vector is null or
-    holds null or non-finite components, take no part; an empty table gives none.
+    smaller ids; a row that is repeated is a candidate as often.  Rows whose id is null, or whose vector is null, holds null or
+    non-finite components or ones so large that a score might not fit a long, take no part; an empty table gives none.
     """
     rows = written(quantized(vectors, scale, id_col, vector_col), "vectors")
     n, m = rows.count(), rows.where(F.col("id") % every == 0).count()
