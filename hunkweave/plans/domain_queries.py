@@ -208,6 +208,23 @@ def repeated_line_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("case_id", "patch_id", *[F.col(f"{s}.{e}").cast("long").alias(f"{s}_{e}") for s in ("left", "right") for e in ("begin", "end")])
 
 
+def similar_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation is a case; each of its customers' files moves to another path and changes, and some are there twice after that."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("k"), "o_orderstatus").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("case_id")), "key")
+    line = F.concat(F.lit("order "), F.col("k").cast("string"), F.lit(" "), "o_orderstatus")
+    now = F.when(F.col("k") % 3 == 0, F.concat(line, F.lit(" changed"))).otherwise(line)
+    text = lambda c: F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("line")))), lambda r: r["line"]), "\n"), F.lit("\n}"))
+    files = o.groupBy("case_id", "key").agg(text(line).alias("L"), text(now).alias("R"))
+    name = lambda folder: F.concat(F.lit(folder), F.col("key").cast("string"), F.lit(".java"))
+    twice = F.when(F.col("key") % 4 == 0, F.array(name("copy/C"), name("new/C"))).otherwise(F.array(name("new/C")))
+    left = files.select("case_id", name("old/C").alias("path"), F.col("L").alias("content"))
+    right = files.select("case_id", F.explode(twice).alias("path"), F.col("R").alias("content"))
+    left, right = (x.withColumn("blob_id", F.sha1(F.col("content").cast("binary"))) for x in (left, right))
+    contents = left.select("blob_id", "content").union(right.select("blob_id", "content")).dropDuplicates(["blob_id"])
+    entries = written(diff.tree_diff(left, right, ["case_id"], copies=True), "entries")
+    return diff.similar_renames(entries, ["case_id"], contents, copies=True).select("case_id", "change_type", "left_path", "right_path")
+
+
 def order_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = written(_files(spark, sf_dir), "files")
     patches = written(diff.line_patches(files, ["case_id"]), "patches")
@@ -357,6 +374,11 @@ SQL = {
         x AS (SELECT *, row_number() OVER c AS l, count(*) FILTER (NOT gone) OVER (c ROWS UNBOUNDED PRECEDING) AS r FROM o WINDOW c AS (PARTITION BY case_id ORDER BY k)),
         e AS (SELECT case_id, 3 * min(l) - 2 AS lb, 3 * max(l) AS le, 3 * r + 1 AS rb, 3 * r AS re FROM x WHERE gone GROUP BY case_id, r UNION ALL SELECT case_id, 3 * l - 2, 3 * l - 2, 3 * l - 2, 3 * l - 2 FROM x WHERE changed)
         SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY lb) - 1 AS patch_id, lb AS left_begin, le AS left_end, rb AS right_begin, re AS right_end FROM e""",
+    "similar_renames": """WITH f AS (SELECT c_nationkey AS case_id, c_custkey AS k, count(*) AS n, count(*) FILTER (o_orderkey % 3 <> 0) AS kept FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        m AS (SELECT *, 10 * (kept + 1) >= 6 * (n + 1) AS alike, k % 4 = 0 AS twice FROM f)
+        SELECT case_id, CASE WHEN alike THEN 'RENAME' ELSE 'ADD' END AS change_type, CASE WHEN alike THEN 'old/C' || k || '.java' END AS left_path, CASE WHEN twice THEN 'copy/C' ELSE 'new/C' END || k || '.java' AS right_path FROM m
+        UNION ALL SELECT case_id, CASE WHEN alike THEN 'COPY' ELSE 'ADD' END, CASE WHEN alike THEN 'old/C' || k || '.java' END, 'new/C' || k || '.java' FROM m WHERE twice
+        UNION ALL SELECT case_id, 'DELETE', 'old/C' || k || '.java', NULL FROM m WHERE NOT alike""",
     "order_word_spans": f"""WITH {_O} SELECT case_id, 'L' AS side, l AS line, CASE WHEN gone THEN 1 ELSE w + 3 END AS "begin", w + 2 + v AS "end" FROM x WHERE gone OR changed
         UNION ALL SELECT case_id, 'R', r, w + 2, w + 8 FROM x WHERE changed""",
     "mined_chains": """WITH RECURSIVE f AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity::BIGINT % 7) AS h,

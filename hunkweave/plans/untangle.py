@@ -22,7 +22,7 @@ def changed_files(files: DataFrame) -> DataFrame:
     src = files.where(is_source_file(F.col("path"))).withColumn("blob_id", F.sha1(F.col("content").cast("binary")))
     left, right = (src.where(F.col("side") == s).select("case_id", "path", "blob_id") for s in "LR")
     contents = src.select("blob_id", "content").dropDuplicates(["blob_id"])
-    entries = written(diff.similar_renames(diff.tree_diff(left, right, CASE), CASE, contents), "entries")
+    entries = written(diff.similar_renames(diff.tree_diff(left, right, CASE, copies=True), CASE, contents, copies=True), "entries")
     a, b = contents.toDF("left_blob", "left_content"), contents.toDF("right_blob", "right_content")
     return entries.join(a, "left_blob", "left").join(b, "right_blob", "left").select("case_id", "change_type", "left_path", "right_path", "left_content", "right_content")
 
