@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import diff, facts, graph, joins, sequence
+from ..operators import diff, facts, graph, joins, refactorings, sequence
 from ..operators.java_edges import Program
 from ..sources.java import parse_files
 from ..sources.tables import table, written
@@ -123,6 +123,44 @@ def java_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_counts(files).where("etype IN ('METHOD_CALL', 'DEF_USE')")
 
 
+#: Both versions of a customer's class: by its key modulo 4 a method is renamed, code is extracted from one, a method is inlined, or statements change only.
+REFACTORED = {
+    "L": """package r;
+class C{k} {{
+  int keep(int a) {{ {kept} return a; }}
+  {old}
+}}
+""",
+    "R": """package r;
+class C{k} {{
+  int keep(int a) {{ {now} return a; }}
+  {new}
+}}
+""",
+}
+
+
+def refactored_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refactorings between two versions of each customer's class; a segment's name and a nation's number stand in its statements."""
+    rows = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    text = lambda *x: F.concat(*[y if isinstance(y, Column) else F.lit(y) for y in x])
+    body = text('log("', F.col("c_mktsegment"), '"); int n = ', F.col("c_nationkey").cast("string"), "; n = n * a; store(n); audit(n, a);")
+    rule = k % 4
+    values = {
+        "k": k.cast("string"),
+        "kept": F.when(rule == 1, text("check(a); ", body)).when(rule == 2, text("check(a); helper(a);")).otherwise(text("check(a);")),
+        "now": F.when(rule == 1, text("check(a); helper(a);")).when(rule == 2, text("check(a); ", body)).when(rule == 3, text("check(a + 1);")).otherwise(text("check(a);")),
+        "old": F.when(rule == 0, text("void before(int a) { ", body, " }")).when(rule == 2, text("void helper(int a) { ", body, " }")).otherwise(text("// nothing")),
+        "new": F.when(rule == 0, text("void after(int a) { ", body, " flush(); }")).when(rule == 1, text("void helper(int a) { ", body, " }")).otherwise(text("// nothing")),
+    }
+    path = text("src/main/java/r/C", k.cast("string"), ".java")
+    files = [rows.select((k % 100).cast("long").alias("case_id"), F.lit(s).alias("side"), path.alias("path"), _filled(REFACTORED[s], **values).alias("content")) for s in "LR"]
+    files = written(files[0].union(files[1]), "files")
+    found = refactorings.refactorings(refactorings.method_bodies(parse_files(files), files))
+    return found.select("case_id", "kind", "old", "new")
+
+
 #: Both versions of a customer's file; the numbers in braces differ between them where a rule on the customer's key says so.
 CHANGED = """package u;
 class C {{
@@ -364,6 +402,8 @@ SQL = {
     "java_nodes": f"WITH {_P} " + " UNION ALL ".join(_LABELS),
     "java_edges": f"WITH {_P} SELECT etype, src_part, src_kind, src_line, dst_part, dst_kind, dst_line, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(_EDGES) + ") GROUP BY ALL",
     "java_chains": f"WITH {_Q} SELECT etype, src_part, src_kind, src_line, dst_part, dst_kind, dst_line, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(_CHAIN) + ") GROUP BY ALL",
+    "refactored_methods": """SELECT c_custkey % 100 AS case_id, ['MOVE', 'EXTRACT', 'INLINE'][c_custkey % 4 + 1] AS kind,
+            'r.C' || c_custkey || ['#before(int)', '#keep(int)', '#helper(int)'][c_custkey % 4 + 1] AS old, 'r.C' || c_custkey || ['#after(int)', '#helper(int)', '#keep(int)'][c_custkey % 4 + 1] AS new FROM customer WHERE c_custkey % 4 < 3""",
     "untangled": f"WITH {_H} SELECT n.case_id, coalesce(dst, patch_id) AS group_id, patch_id, line FROM n LEFT JOIN t ON n.case_id = t.case_id AND patch_id = src",
     "untangled_edges": f"WITH {_H} SELECT * FROM t",
     "order_patches": f"""WITH {_O}, e AS (SELECT case_id, gap, min(l) AS lb, max(l) AS le, min(r) FILTER (changed) AS rb, max(r) FILTER (changed) AS re, min(r) AS r0 FROM x WHERE gone OR changed GROUP BY ALL)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_source_file
-from ..operators import diff, graph, joins
+from ..operators import diff, graph, joins, refactorings
 from ..operators.java_edges import Program
 from ..sources.java import parse_files
 from ..sources.tables import written
@@ -84,7 +84,9 @@ def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans
     sided = patches.select("case_id", "patch_id", F.coalesce("right.path", "left.path").alias("path"))
     textual = written(trivial.join(sided, ["case_id", "patch_id"]).select("case_id", "path", "patch_id"), "trivial")
     clones = hunk_clones(regions).withColumn("etype", F.lit("CLONE"))
-    moves = joins.refactoring_edges(moved_code(regions)).withColumn("etype", F.lit("REFACTOR"))
+    bodies = written(refactorings.method_bodies(program.nodes, files), "bodies")
+    touched = refactorings.touched_hunks(refactorings.refactorings(bodies), bodies, regions)
+    moves = joins.refactoring_edges(moved_code(regions).union(touched)).withColumn("etype", F.lit("REFACTOR"))
     return graph.add_edges(depend, clones, moves), textual, failed
 
 
