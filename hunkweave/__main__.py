@@ -1,4 +1,4 @@
-"""python -m hunkweave CONFIG --repo=NAME [--mine]: groups of every case of a repository, as JSON lines."""
+"""python -m hunkweave CONFIG --repo=NAME [--mine] [--first=false]: groups of every case of a repository, as JSON lines."""
 
 from __future__ import annotations
 
@@ -37,6 +37,7 @@ def main() -> None:
     args.add_argument("config")
     args.add_argument("--repo", default="groovy")
     args.add_argument("--mine", action="store_true", help="mine the cases from the history first, where the data set lacks the repository")
+    args.add_argument("--first", type=lambda x: x.lower() == "true", default=True, help="false: lines are added to those of an earlier run")
     given = args.parse_args()
     options = cases.Options.read(given.config)
     spark = SparkSession.builder.appName("hunkweave").getOrCreate()
@@ -57,14 +58,14 @@ def main() -> None:
         entries = changed_files(git.files(pairs, repo)).withColumn("step", F.col("case_id") % (1 << STEP_BITS)).withColumn("case_id", F.shiftright("case_id", STEP_BITS))
         groups = ground_truth(entries)
     else:
-        groups, _, failed = untangle(git.files(found, repo))
+        groups, _, failed = untangle(git.files(found, repo), phases.end)
         # A failed case is written with no groups.
         none = failed.select("case_id", F.concat(F.lit('{"groups":[],"index":'), F.col("case_id").cast("string"), F.lit("}")).alias("json"))
     phases.end("analyze")
     lines = sinks.group_json(groups)
     if not options.ground_truth:
         lines = lines.union(none)
-    lines.select("json").write.mode("overwrite").text(f"{options.output}/{given.repo}")
+    lines.select("json").write.mode("overwrite" if given.first else "append").text(f"{options.output}/{given.repo}")
     phases.end("write")
     took = sum(ms for _, ms in phases.took)
     print(f"{n} cases took {took} ms, {took // max(n, 1)} ms each: {phases.show(spark)}")

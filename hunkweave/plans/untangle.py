@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_source_file
@@ -15,6 +17,7 @@ from ..sources.java import parse_files
 from ..sources.tables import written
 
 CASE = ["case_id"]
+log = logging.getLogger(__name__)
 
 
 def changed_files(files: DataFrame) -> DataFrame:
@@ -64,12 +67,21 @@ def moved_code(regions: DataFrame) -> DataFrame:
     return both.select("case_id", F.xxhash64("body").alias("ref_id"), F.explode("p").alias("patch_id"))
 
 
-def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def unread(nodes: DataFrame) -> DataFrame:
+    """(case_id, side, path, line, kind, error): files (Failed) and members (Unread) that weren't understood."""
+    return nodes.where("kind IN ('Failed', 'Unread')").select("case_id", "side", "path", F.col("b.line").alias("line"), "kind", "error")
+
+
+def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans: DataFrame, phase: Callable[[str], None]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((case_id, src, dst, etype) without trivial ones, trivial hunks (case_id, path, patch_id), failed (case_id, error))."""
     sides = [entries.where(F.col(f"{s}_path").isNotNull()).select("case_id", F.lit(m).alias("side"), F.col(f"{s}_path").alias("path"), F.col(f"{s}_content").alias("content")) for s, m in (("left", "L"), ("right", "R"))]
     kept = regions.where("end >= begin").select("case_id", "side", "path").distinct()
     files = sides[0].union(sides[1]).dropDuplicates(["case_id", "side", "path"]).join(kept, ["case_id", "side", "path"], "left_semi")
-    nodes = written(parse_files(files), "syntax")
+    told = Observation("syntax")
+    count = lambda kind: F.coalesce(F.count_if(F.col("kind") == kind), F.lit(0))
+    nodes = written(parse_files(files).observe(told, F.count(F.lit(1)).alias("nodes"), count("Failed").alias("files"), count("Unread").alias("members")), "syntax")
+    if told.get["files"] or told.get["members"]:
+        log.warning("%(files)d files and %(members)d members weren't understood", told.get)
     failed = nodes.where("kind = 'Failed'").groupBy("case_id").agg(F.min(F.concat("path", F.lit(": "), "error")).alias("error"))
     program = Program(nodes)
     edges = written(program.edges(), "edges")
@@ -84,22 +96,26 @@ def hunk_edges(entries: DataFrame, patches: DataFrame, regions: DataFrame, spans
     sided = patches.select("case_id", "patch_id", F.coalesce("right.path", "left.path").alias("path"))
     textual = written(trivial.join(sided, ["case_id", "patch_id"]).select("case_id", "path", "patch_id"), "trivial")
     clones = hunk_clones(regions).withColumn("etype", F.lit("CLONE"))
+    phase("graph")
     bodies = written(refactorings.method_bodies(program.nodes, files), "bodies")
     touched = refactorings.touched_hunks(refactorings.refactorings(bodies), bodies, regions)
-    moves = joins.refactoring_edges(moved_code(regions).union(touched)).withColumn("etype", F.lit("REFACTOR"))
+    moves = written(joins.refactoring_edges(moved_code(regions).union(touched)).withColumn("etype", F.lit("REFACTOR")), "moves")
+    phase("refactor")
     return graph.add_edges(depend, clones, moves), textual, failed
 
 
-def untangle(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def untangle(files: DataFrame, phase: Callable[[str], None] = lambda name: None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups (case_id, group_id, patch_id, left, right), edges, failed) of files (case_id, side L or R, path, content).
 
-    A case with a file that can't be read is failed and has no groups; the others aren't touched by it.
+    A case with a file that can't be read is failed and has no groups; the others aren't touched by it.  A member that can't be read is
+    left out of its file's syntax only.  phase: is told as diff, graph and refactor end.
     """
     entries = written(changed_files(files), "changed")
     patches = written(diff.line_patches(entries, CASE), "patches")
     regions = written(diff.regions(patches, entries, CASE), "regions")
     spans = written(diff.token_spans(regions, CASE), "spans")
-    edges, trivial, failed = hunk_edges(entries, patches, regions, spans)
+    phase("diff")
+    edges, trivial, failed = hunk_edges(entries, patches, regions, spans, phase)
     edges, failed = written(edges, "edges"), written(failed, "failed")
     ok = lambda df: df.join(failed, "case_id", "left_anti")
     classes = joins.trivial_classes(trivial, ["case_id", "path"])
