@@ -15,13 +15,13 @@ copies stays cheap.  Equal fingerprints are one leaf.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, without, written
@@ -121,15 +121,16 @@ def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return which, at // nb[which], at % nb[which]
 
 
-def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, labels: np.ndarray | None = None, most: int = 0, leaf_pairs: int = 24, chunk: int = 25_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int, start: int, sides: np.ndarray | None, tight: int | None = None, labels: np.ndarray | None = None, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, leaf_pairs: int = 24, chunk: int = 25_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (i, j, sure, more) that span the components of the leaves under one or two trie nodes.
 
     keys: uint64, the trie's bit order from the highest bit; fps: uint64 rows for the whole Hamming distance.
     budgets[t]: errors allowed in the first t+1 bits.  start: depth of the two nodes.  sides: None for a node
     with itself, else which leaves belong to the second node.  tight: up to so many bits a link is sure; of the others
     within the radius those between sure components are returned as well, for each leaf the CLOSEST ones.
-    labels: components that hold already; then nothing is joined, and of each two components the ``most`` closest links
-    are returned.  more: an end of the link has other links that are left out because of that or of what was joined.
+    more: an end of the link has other links that are left out because of that or of what was joined.
+    labels: components that hold already; then every pair within the radius that is of two components is put to ``verify``, the closest
+    first, and what it confirms is joined, so that all that is returned is links which span what is confirmed.
     """
     order = np.argsort(keys, kind="stable") if sides is None else np.lexsort((keys, sides))
     k, f = keys[order], fps[order]
@@ -169,6 +170,9 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
                 apart = forest.label[xs] != forest.label[ys]
                 xs, ys = xs[apart], ys[apart]
                 apart = np.bitwise_count(f[xs] ^ f[ys]).sum(axis=1, dtype=np.int64)
+                if verify is not None:
+                    confirm(xs, ys, apart)
+                    continue
                 near = apart <= (radius if tight is None else tight)
                 forest.join(xs[near], ys[near])
                 if tight is not None:
@@ -178,8 +182,18 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
                         unsure[:] = [closest()]
                         limit = max(limit, 2 * len(unsure[0][0]))
 
+    def confirm(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> None:
+        near = np.flatnonzero(apart <= radius)
+        near = near[np.argsort(apart[near], kind="stable")]
+        for at in range(0, len(near), 2048):
+            a, b = x[near[at : at + 2048]], y[near[at : at + 2048]]
+            two = forest.label[a] != forest.label[b]
+            a, b = a[two], b[two]
+            true = verify(order[a], order[b])
+            forest.join(a[true], b[true])
+
     def closest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the unsure links between components the closest of each leaf, or the ``most`` closest of two components."""
+        """Of the unsure links between components the closest of each leaf."""
         x, y, apart = (np.concatenate(u) for u in zip(*unsure))
         lx, ly = forest.label[x], forest.label[y]
         x, y, apart, lx, ly = (v[lx != ly] for v in (x, y, apart, lx, ly))
@@ -194,11 +208,8 @@ def traverse(keys: np.ndarray, fps: np.ndarray, budgets: list[int], radius: int,
             begin = np.flatnonzero(new)
             keep[at[np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at)))) < n]] = True
 
-        if labels is None:
-            first([x], CLOSEST)
-            first([y], CLOSEST)
-        else:
-            first([np.minimum(lx, ly), np.maximum(lx, ly)], most)
+        first([x], CLOSEST)
+        first([y], CLOSEST)
         cut[x[~keep]] = cut[y[~keep]] = True
         return x[keep], y[keep], apart[keep]
 
@@ -366,16 +377,31 @@ def _blocks(leaves: DataFrame, d: int, per_node: int) -> np.ndarray:
     return out
 
 
-def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -> DataFrame:
+def similar_sets(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similar: float) -> np.ndarray:
+    """Whether the sets i and j, sorted and without repeats, have that Jaccard similarity; two empty ones have."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out = np.minimum(sizes[i], sizes[j]) >= similar * np.maximum(sizes[i], sizes[j])
+    todo = np.flatnonzero(out & (sizes[i] > 0))
+    todo = todo[np.argsort(i[todo], kind="stable")]
+    for own in np.split(todo, np.flatnonzero(np.diff(i[todo])) + 1) if len(todo) else []:
+        x, others = sets[i[own[0]]], j[own]
+        flat, n = np.concatenate([sets[k] for k in others]), sizes[others]
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+        out[own] = both >= similar * (len(x) + n - both)
+    return out
+
+
+def candidate_links(leaves: DataFrame, per_node: int = 200_000, similar: float | None = None) -> DataFrame:
     """(a, b, sure, apart, more) between the ids ``low`` of distinct fingerprints ``fp`` (binary), by the tries of _led_keys().
 
-    With columns ``label`` and ``main``, the ``most`` closest links of each two labels in each group; none between two main leaves.
-    A group is a pair of nodes, or of blocks of these where a node holds far more than ``per_node`` leaves.
+    With columns ``label``, ``main`` and ``s`` (shingle sets), links of two labels that are verified to be ``similar`` where their leaves meet, so that only
+    what spans them leaves a group; none between two main leaves.  A pair that several tries propose is verified in the first.  A group is a pair of nodes, or of blocks of these where a node holds far more than ``per_node`` leaves.
     """
     n = leaves.count()
     d = max(0, min(16, math.ceil(math.log2(max(1, n) / per_node))))
     masks = [0] + [sum(1 << b for b in c) for e in range(1, TRIE_ERRORS + 1) for c in combinations(range(d), e)]
-    known = ["label", "main"] if "label" in leaves.columns else []
+    known = ["label", "main", "s"] if similar is not None else []
     cuts = _blocks(leaves, d, per_node)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,19 +421,30 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -
                         yield pa.RecordBatch.from_arrays(rows, [*keys, "second", "key", "low", "fp", *known]).filter(at)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        _, lo, hi, ba, bb = (x.as_py() for x in key)
+        trie, lo, hi, ba, bb = (x.as_py() for x in key)
         ids, fps = t.column("low").to_numpy(), _unpacked(t.column("fp"))
         order, second = t.column("key").to_numpy().view(np.uint64), None if (lo, ba) == (hi, bb) else t.column("second").to_numpy()
         if known:
             # All pairs but those of two main leaves, which are many and of one label.
             labels, main = t.column("label").to_numpy(), t.column("main").to_numpy()
             parts = [(~main, None), (main | True, main)] if second is None else [(~main | second, second), (main ^ second, second)]
+            sets, leads = [np.frombuffer(x, np.uint32) for x in t.column("s").to_pylist()], _led_keys(fps)[:trie]
         else:
             labels, parts = None, [(np.ones(len(ids), bool), second)]
+
+        def true(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether pairs that no trie before this one proposes are similar."""
+            out = np.ones(len(i), bool)
+            for lead in leads:
+                out &= np.bitwise_count(lead[i] ^ lead[j]) > TRIE_ERRORS
+            at = np.flatnonzero(out)
+            out[at] = similar_sets(sets, i[at], j[at], similar)
+            return out
+
         out = []
         for part, sides in parts:
             at = np.flatnonzero(part)
-            i, j, sure, more = traverse(order[at], fps[at], [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if sides is None else sides[at].astype(np.int64), TIGHT, None if labels is None else labels[at], most)
+            i, j, sure, more = traverse(order[at], fps[at], [TRIE_ERRORS] * TRIE_BITS, LOOSE, d, None if sides is None else sides[at].astype(np.int64), TIGHT, None if labels is None else labels[at], None if labels is None else lambda i, j, at=at: true(at[i], at[j]))
             out.append((at[i], at[j], sure, more))
         i, j, sure, more = (np.concatenate(x) for x in zip(*out))
         a, b = ids[i], ids[j]
@@ -416,7 +453,7 @@ def candidate_links(leaves: DataFrame, most: int = 0, per_node: int = 200_000) -
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "apart": apart, "more": more})
 
     keys = ["trie", "lo", "hi", "ba", "bb"]
-    sent = leaves.select("low", "fp", *known).mapInArrow(send, "trie int, lo long, hi long, ba long, bb long, second boolean, key long, low long, fp binary" + (", label long, main boolean" if known else ""))
+    sent = leaves.select("low", "fp", *known).mapInArrow(send, "trie int, lo long, hi long, ba long, bb long, second boolean, key long, low long, fp binary" + (", label long, main boolean, s binary" if known else ""))
     found = sent.groupBy(*keys).applyInArrow(run, "a long, b long, sure boolean, apart int, more boolean")
     return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
 
@@ -430,7 +467,8 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
+    # Rows that share an id are judged by the least of their sets, whichever task meets them first.
+    return texts.mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -453,36 +491,26 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 ROUNDS = 3
 
 
-def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: DataFrame | None = None, tried: list[DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(node, root) of the components of the candidates (a, b, sure, apart) that are similar, and of ``trees``.
+def similar_trees(found: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of the components of the candidates (a, b, sure, apart) that are similar.
 
     The sure ones are verified first, then each leaf's closest in another tree, a few times over, then every one that is left
     between two trees: in a group of near copies the first rounds join nearly all, so few are left.
-    tried: gets the pairs that were verified; those in it are not verified again.  rounds: of closest ones before all the rest.
     """
-    tried = [] if tried is None else tried
-    left = found.select("a", "b", "sure", "apart")
-    for x in tried:
-        left = left.join(x.hint("merge"), ["a", "b"], "left_anti")
-    left = written(left, "apart")
-    sure = left.where("sure").select("a", "b")
-    if trees is None or not sure.isEmpty():
-        links = verified(sure, sets, similar)
-        trees = written(components(links if trees is None else links.union(trees.toDF("a", "b"))), "trees")
-        tried.append(sure)
+    left = written(found.select("a", "b", "sure", "apart"), "apart")
+    trees = written(components(verified(left.where("sure"), sets, similar)), "trees")
     left = left.where("NOT sure").select("a", "b", "apart")
-    for number in range(rounds + 1):
+    for number in range(ROUNDS + 1):
         for end in "ab":
             left = left.join(trees.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
         left = written(left.where("ta <> tb"), "apart")
         if left.isEmpty():
             break
-        if number == rounds:
+        if number == ROUNDS:
             now = left.select("a", "b")
         else:
             ends = [left.groupBy(x).agg(F.min(F.struct("apart", y)).alias("x")).select(F.least(x, f"x.{y}").alias("a"), F.greatest(x, f"x.{y}").alias("b")) for x, y in ("ab", "ba")]
             now = written(ends[0].union(ends[1]).distinct(), "tried")
-        tried.append(now)
         links = verified(now, sets, similar)
         if not links.isEmpty():
             trees = written(components(trees.toDF("a", "b").union(links)), "trees")
@@ -490,16 +518,27 @@ def similar_trees(found: DataFrame, sets: DataFrame, similar: float, trees: Data
     return trees
 
 
-#: How many links of two components are verified when an unsettled group is searched again; each time after that STEP times as many.
-AGAIN, STEP = 64, 16
+#: Leaves with their shingle sets that meet in one group: some 25 MB of sets of usual texts.
+PER_NODE = 20_000
+
 
+def closest_of_leaves(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the sure candidates and, of the others, those that are among an end's CLOSEST, ids of leaves that other candidates were left out of).
+
+    Each trie's groups return as many of each leaf; verifying them once over all tries makes the work grow with the leaves, not with the tries.
+    """
+    rank = lambda end, other: F.row_number().over(Window.partitionBy("sure", end).orderBy("apart", other))
+    keep = F.col("sure") | (F.col("ra") <= CLOSEST) | (F.col("rb") <= CLOSEST)
+    ranked = written(found.withColumn("ra", rank("a", "b")).withColumn("rb", rank("b", "a")).select("a", "b", "sure", "apart", "more", keep.alias("keep")), "closest")
+    return ranked.where("keep").drop("keep"), ranked.where("more OR NOT keep").select("a").distinct()
 
-def unsettled(leaves: DataFrame, regions: DataFrame, found: DataFrame, trees: DataFrame) -> DataFrame:
+
+def unsettled(leaves: DataFrame, regions: DataFrame, cut: DataFrame, trees: DataFrame) -> DataFrame:
     """(low, fp, label, main): the leaves of regions (node, root) of candidates in which some were left out and more than one tree is.
 
-    label: the leaf's tree; main: it is the region's largest.
+    cut: ids ``a`` of leaves that candidates were left out of.  label: the leaf's tree; main: it is the region's largest.
     """
-    cut = found.where("more").join(regions, F.col("a") == F.col("node")).select(F.col("root").alias("region")).distinct()
+    cut = cut.join(regions, F.col("a") == F.col("node")).select(F.col("root").alias("region")).distinct()
     held = regions.select(F.col("node").alias("low"), F.col("root").alias("region")).join(cut, "region", "left_semi")
     held = held.join(trees.toDF("low", "label"), "low", "left").withColumn("label", F.coalesce("label", "low"))
     sizes = held.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -511,21 +550,23 @@ def near_copies(docs: DataFrame, width: int = 5, similar: float = 0.8, id_col: s
     """(id, component_id): groups of documents that links of at least that similarity connect; component_id is the smallest id.
 
     Null and empty texts are copies of each other.  Rows with a null id are left out; rows that share an id are one
-    document, judged by any one of its texts.  An empty table gives none.
+    document, judged by the least of their shingle sets.  An empty table gives none.
     """
     known = docs.where(F.col(id_col).isNotNull())
     marks = written(fingerprints(known, width, WORDS64, id_col, text_col, with_set=True), "fingerprints")
     leaves = written(marks.groupBy("fp").agg(F.min(id_col).alias("low")), "leaves")
     found = written(candidate_links(leaves), "candidates")
-    ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    sets = written(shingle_sets(ids, known, width, id_col, text_col), "shingles")
-    tried: list[DataFrame] = []
-    roots, most = similar_trees(found, sets, similar, tried=tried), AGAIN
     # Every candidate, also one left out, has both ends in one region.
     regions = written(components(found), "regions")
-    while not (again := unsettled(leaves, regions, found, roots)).isEmpty():
-        found = written(candidate_links(again, most), "candidates")
-        roots, most = similar_trees(found, sets, similar, roots, tried, 0), most * STEP
+    found, cut = closest_of_leaves(found)
+    ids = regions.select(F.col("node").alias("id"))
+    sets = written(shingle_sets(ids, known, width, id_col, text_col), "shingles")
+    roots = similar_trees(found, sets, similar)
+    again = unsettled(leaves, regions, cut, roots)
+    if not again.isEmpty():
+        held = again.join(sets.toDF("low", "s"), "low")
+        links = written(candidate_links(held, PER_NODE, similar).select("a", "b"), "links")
+        roots = written(components(roots.toDF("a", "b").union(links)), "trees")
     named = leaves.join(roots, leaves.low == roots.node, "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return marks.join(named, "fp").groupBy(id_col).agg(F.min("component_id").alias("component_id"))
 
