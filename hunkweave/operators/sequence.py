@@ -82,7 +82,9 @@ def pointer_segments(rows: DataFrame, keys: list[str], seq: str, carry: list[str
     first = rows.groupBy(*keys).agg(F.min(seq).alias("first_"))
     own = rows.select(*keys, F.col(seq).alias("seq_"), *carry).join(first, keys).withColumn("pos_", (F.col("seq_") - F.col("first_")).cast("long"))
     own = own.withColumn("block_", F.floor(F.col("pos_") / block)).withColumn("own_", F.lit(True))
-    ahead = own.where((F.col("pos_") % block < look) & (F.col("block_") > 0)).withColumn("block_", F.col("block_") - 1).withColumn("own_", F.lit(False))
+    # A row is seen by every earlier block whose last row looks as far as it: of blocks shorter than the look, by several.
+    seen = F.sequence(F.greatest(F.floor((F.col("pos_") - look) / block), F.lit(0)), F.col("block_") - 1)
+    ahead = own.where((F.col("pos_") % block < look) & (F.col("block_") > 0)).withColumn("block_", F.explode(seen)).where((F.col("block_") + 1) * block + look > F.col("pos_")).withColumn("own_", F.lit(False))
     dealt = own.union(ahead).drop("first_").repartition(*keys, "block_").sortWithinPartitions(*keys, "block_", "pos_")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
