@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, without, written
+from .common import Forest, components, without, written
 
 SEED = 42
 
@@ -84,35 +84,6 @@ def fingerprints(docs: DataFrame, width: int = 4, n_words64: int = 1, id_col: st
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{id_col} long, fp binary")
 
 
-class Forest:
-    """Component labels of the leaves of one group, with the links that joined them."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Merges along the links i-j and keeps, of them, what spans the merged parts."""
-        while len(i):
-            li, lj = self.label[i], self.label[j]
-            apart = li != lj
-            i, j, li, lj = i[apart], j[apart], li[apart], lj[apart]
-            if not len(i):
-                return
-            high, low = np.maximum(li, lj), np.minimum(li, lj)
-            order = np.lexsort((low, high))
-            first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
-            self.links.append((i[first], j[first]))
-            to = np.arange(len(self.label))
-            to[high[first]] = low[first]
-            while True:  # every chain of labels goes down, so this ends
-                again = to[to]
-                if (again == to).all():
-                    break
-                to = again
-            self.label = to[self.label]
-
-
 def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each node pair the positions of all its leaf pairs: (which pair, offset in a, offset in b)."""
     n = na * nb
