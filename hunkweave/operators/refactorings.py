@@ -7,6 +7,9 @@ a changed method has lost was extracted from it, a lost one most of whose statem
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +33,20 @@ def method_bodies(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return methods.join(lines, ["case_id", "side", "path"]).select(*METHOD, "side", "path", "begin", "end", statements.alias("statements")).dropDuplicates([*METHOD, "side"])
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(case_id, id, statements) with the class of the rows of a case whose statements are equal."""
+    return rows.select("case_id", "id", "statements", F.sha2(F.array_join("statements", "\n").cast("binary"), 256).alias("class"))
+
+
 def _contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """(case_id, part, whole, share): parts of whose statements SHARE or more stand in a whole; of each part the fullest whole, ties to one of the same type, then to the smaller.
 
-    Both: (case_id, id, statements).  A part must have one of its rarest statements in common with the whole - all but as many as SHARE asks for,
-    and one - so common statements make no pairs.
+    Both: (case_id, id, statements).  Equal ones are a class, and classes are compared.  A part must have one of its rarest statements in common with the whole - all but as many as SHARE asks for,
+    and one - so common statements make few pairs.
     """
-    bag = lambda df, name: df.select("case_id", F.col("id").alias(name), F.explode("statements").alias("s")).groupBy("case_id", name, "s").agg(F.count(F.lit(1)).cast("int").alias(f"{name}_n"))
+    owner = F.substring_index("id", "#", 1)
+    parts, wholes = (written(_classes(x).withColumn("owner", owner), "classed") for x in (parts, wholes))
+    bag = lambda df, name: df.select("case_id", F.col("class").alias(name), "statements").dropDuplicates(["case_id", name]).select("case_id", name, F.explode("statements").alias("s")).groupBy("case_id", name, "s").agg(F.count(F.lit(1)).cast("int").alias(f"{name}_n"))
     part, whole = written(bag(parts, "part"), "statements"), written(bag(wholes, "whole"), "statements")
     often = whole.groupBy("case_id", "s").agg(F.count(F.lit(1)).alias("often"))
     items = part.join(often, ["case_id", "s"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
@@ -47,8 +57,68 @@ def _contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     sizes = part.groupBy("case_id", "part").agg(F.sum("part_n").alias("size"))
     common = pairs.join(part, ["case_id", "part"]).join(whole, ["case_id", "whole", "s"]).groupBy("case_id", "part", "whole").agg(F.sum(F.least("part_n", "whole_n")).alias("common"))
     found = common.join(sizes, ["case_id", "part"]).where(F.col("common") >= SHARE * F.col("size")).withColumn("share", F.col("common") / F.col("size"))
-    first = F.row_number().over(Window.partitionBy("case_id", "part").orderBy(F.desc("share"), F.substring_index("whole", "#", 1) != F.substring_index("part", "#", 1), "whole"))
-    return found.withColumn("x", first).where("x = 1").select("case_id", "part", "whole", "share")
+    best = written(found.withColumn("x", F.rank().over(own.orderBy(F.desc("share")))).where("x = 1").select("case_id", F.col("part").alias("class"), F.col("whole").alias("in"), "share"), "best")
+    names = wholes.select("case_id", F.col("class").alias("in"), F.col("id").alias("whole"), "owner")
+    least = best.join(names.groupBy("case_id", "in").agg(F.min("whole").alias("whole")), ["case_id", "in"]).groupBy("case_id", "class").agg(F.min("whole").alias("least"), F.max("share").alias("share"))
+    own_type = parts.join(best, ["case_id", "class"]).join(names, ["case_id", "in", "owner"]).groupBy("case_id", "id").agg(F.min("whole").alias("same"))
+    told = parts.join(least, ["case_id", "class"]).join(own_type, ["case_id", "id"], "left")
+    return told.select("case_id", F.col("id").alias("part"), F.coalesce("same", "least").alias("whole"), "share")
+
+
+#: Methods and class pairs of a case that one task may match.
+SMALL_CASE = 200_000
+
+
+def _moved(gone: DataFrame, new: DataFrame, small: int | None = None) -> DataFrame:
+    """(case_id, old, new): lost and new methods with most statements in common, each once, the most similar first; ties go by name, the old ones' first.
+
+    Methods of equal statements are a class, and classes are compared.  Of a class always the smallest name that is left is taken, so a case's matching
+    walks its class pairs in one task; a case of more than ``small`` methods and class pairs is matched by joins.
+    """
+    small = SMALL_CASE if small is None else small
+    gone, new = (written(_classes(x), "classed") for x in (gone, new))
+    none = F.lit(None).cast("string")
+    blob = lambda side: F.concat(F.lit(f"{side}:"), F.col("case_id").cast("string"), F.lit(":"), "class")
+    entry = lambda df, side: df.select("case_id", "class").distinct().select("case_id", *((F.lit("DELETE"), F.col("class"), none, blob(side), none) if side == "L" else (F.lit("ADD"), none, F.col("class"), none, blob(side))))
+    entries = entry(gone, "L").union(entry(new, "R")).toDF("case_id", "change_type", "left_path", "right_path", "left_blob", "right_blob")
+    contents = [df.select(blob(side).alias("blob_id"), F.array_join("statements", "\n").alias("content")) for df, side in ((gone, "L"), (new, "R"))]
+    pairs = written(similar_pairs(entries, ["case_id"], contents[0].union(contents[1]).dropDuplicates(["blob_id"])).select("case_id", "left_path", "right_path", "score"), "similar")
+    score = F.lit(None).cast("double")
+    rows = pairs.select("*", F.lit("pair")).union(gone.select("case_id", "class", "id", score, F.lit("old"))).union(new.select("case_id", "class", "id", score, F.lit("new"))).toDF("case_id", "a", "b", "score", "kind")
+    large = rows.groupBy("case_id").count().where(F.col("count") > small).select("case_id")
+    large = written(large, "large")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        members: dict[str, dict[str, list[str]]] = {"old": {}, "new": {}}
+        scores = []
+        for a, b, s, kind in zip(*(t.column(c).to_pylist() for c in ("a", "b", "score", "kind"))):
+            if kind == "pair":
+                scores.append((-s, a, b))
+            else:
+                members[kind].setdefault(a, []).append(b)
+        for held in members.values():
+            for names in held.values():
+                names.sort(reverse=True)
+        heads = lambda s, a, b: (s, members["old"][a][-1], members["new"][b][-1], a, b)
+        heap = [heads(*x) for x in scores]
+        heapify(heap)
+        out = []
+        while heap:
+            s, x, y, a, b = heappop(heap)
+            old, new = members["old"][a], members["new"][b]
+            if old and new:
+                if (old[-1], new[-1]) == (x, y):
+                    out.append((old.pop(), new.pop()))
+                if old and new:
+                    heappush(heap, heads(s, a, b))
+        return pa.table({"case_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "old": pa.array([x[0] for x in out], pa.string()), "new": pa.array([x[1] for x in out], pa.string())})
+
+    found = rows.join(F.broadcast(large), "case_id", "left_anti").groupBy("case_id").applyInArrow(run, "case_id long, old string, new string")
+    if large.isEmpty():
+        return found
+    own = pairs.join(F.broadcast(large), "case_id", "left_semi")
+    whole = own.join(gone.select("case_id", F.col("class").alias("left_path"), F.col("id").alias("old")), ["case_id", "left_path"]).join(new.select("case_id", F.col("class").alias("right_path"), F.col("id").alias("new")), ["case_id", "right_path"])
+    return found.union(best_first(whole.select("case_id", F.col("old").alias("left_path"), F.col("new").alias("right_path"), "score"), ["case_id"]).select("case_id", "left_path", "right_path"))
 
 
 def refactorings(bodies: DataFrame) -> DataFrame:
@@ -62,11 +132,7 @@ def refactorings(bodies: DataFrame) -> DataFrame:
     key = ["case_id", "id"]
     told = F.size("statements") >= LEAST
     gone, new = left.join(right, key, "left_anti").where(told), right.join(left, key, "left_anti").where(told)
-    blob = F.concat("side", F.lit(":"), F.col("case_id").cast("string"), F.lit(":"), "id")
-    none = F.lit(None).cast("string")
-    entries = gone.select("case_id", F.lit("DELETE").alias("change_type"), F.col("id").alias("left_path"), none.alias("right_path"), blob.alias("left_blob"), none.alias("right_blob")).union(new.select("case_id", F.lit("ADD"), none, "id", none, blob))
-    contents = gone.unionByName(new).select(blob.alias("blob_id"), F.array_join("statements", "\n").alias("content"))
-    moved = written(best_first(similar_pairs(entries, ["case_id"], contents), ["case_id"]).select("case_id", F.lit("MOVE").alias("kind"), F.col("left_path").alias("old"), F.col("right_path").alias("new")), "moved")
+    moved = written(_moved(gone, new).select("case_id", F.lit("MOVE").alias("kind"), "old", "new"), "moved")
     both = left.select(*key, F.col("statements").alias("was")).join(right.select(*key, F.col("statements").alias("now")), key).where("was <> now")
     gone, new = (x.join(moved.select("case_id", F.col(c).alias("id")), key, "left_anti").select(*key, "statements") for x, c in ((gone, "old"), (new, "new")))
     lost, gained = both.select(*key, _minus("was", "now").alias("statements")), both.select(*key, _minus("now", "was").alias("statements"))
