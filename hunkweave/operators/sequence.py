@@ -136,7 +136,8 @@ def pointer_segments(rows: DataFrame, keys: list[str], seq: str, carry: list[str
 
         return pd.Series([[walk(x, at) for at in range(look + 1)] for x in lens])
 
-    maps = runs.select(*keys, "block_", F.inline(through("lens")))
+    # What is not full is the last block of its key, which nothing comes after.
+    maps = runs.where(F.size("lens") == block).select(*keys, "block_", F.inline(through("lens")))
     most, step = runs.agg(F.max("block_")).first()[0] or 0, 1
     if most:
         maps = written(maps, "maps")
@@ -188,6 +189,13 @@ class MinerChain(Chain):
         return True
 
 
+def what_may_follow(commits: DataFrame) -> DataFrame:
+    """The commits with parents and valid diffs only where a miner's chain may take them, as far as a commit alone tells: the others end it in any case."""
+    limits = MinerChain()
+    fits = (F.size("parents") == 1) & (F.size("diffs") <= limits.files) & ~F.exists("diffs", lambda d: F.coalesce(d["n_hunks"] > limits.hunks, F.lit(False))) & F.exists("diffs", lambda d: F.coalesce(d["valid"], F.lit(False)))
+    return commits.select("repo", "seq", "sha", F.when(fits, F.col("parents")).alias("parents"), F.when(fits, F.filter("diffs", lambda d: d["valid"])).alias("diffs"))
+
+
 def mine_chains(commits: DataFrame, block: int = 4096) -> DataFrame:
     """(repo, case_id, hashes): chains of three commits or more, short hashes, oldest first.
 
@@ -195,7 +203,7 @@ def mine_chains(commits: DataFrame, block: int = 4096) -> DataFrame:
     """
     from ..functions.text import short_sha
 
-    seg = pointer_segments(commits, ["repo"], "seq", ["sha", "parents", "diffs"], MinerChain, 5, block)
+    seg = pointer_segments(what_may_follow(commits), ["repo"], "seq", ["sha", "parents", "diffs"], MinerChain, 5, block)
     held = seg.join(commits.select("repo", "seq", "sha"), ["repo", "seq"]).groupBy("repo", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "sha"))).alias("x"))
     chains = held.where(F.size("x") > 2).select("repo", "segment", F.transform("x", lambda r: short_sha(r["sha"])).alias("hashes"))
     return chains.select("repo", (F.row_number().over(Window.partitionBy("repo").orderBy("segment")) - 1).alias("case_id"), "hashes")
