@@ -4,20 +4,26 @@ Strong components are found by trimming, chain contraction and colouring.  A nod
 run of nodes with one edge in and one out is drawn together into one edge: whether it is in a cycle follows from the edge's ends.  Of what is left, each
 node takes the highest mark of all that reach it, its colour; a component lies within one colour, and what reaches the node that a colour comes from, in this colour,
 is its component.  The edges between other nodes of one colour are the next round's graph.  Cases whose edges have become few are searched in a task.
+
+Tables between the steps are dealt once, by case, or for cases too large for that by case and node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import Dealt, stay_dealt, tasks, written
 
 #: Edges of a case that one task may search: some 100 MB as Python objects.
 SMALL = 200_000
+#: Edges of a case that is dealt as a whole, and edges that a task is dealt.
+WHOLE = ROWS = 131_072
+#: Keeps a table of this name, dealt by its cases, or by them and this column.
+Keep = Callable[[DataFrame, str, str], Dealt]
 NODE, EDGE = ["case_id", "node"], ["case_id", "src", "dst"]
 
 
@@ -30,75 +36,87 @@ def _on(nodes: DataFrame, c: str, *also: str) -> DataFrame:
     return nodes.select("case_id", F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in also])
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
+def trimmed(edges: DataFrame, keep: Keep) -> DataFrame:
     """The edges left once nodes without edges in or without edges out were taken away again and again, as long as that takes a tenth away."""
     n = edges.count()
     while n:
         live = _ends(edges, "src").distinct().join(_ends(edges, "dst").distinct(), NODE)
-        edges = written(edges.join(_on(live, "src"), ["case_id", "src"], "left_semi").join(_on(live, "dst"), ["case_id", "dst"], "left_semi").select(*EDGE), "trimmed")
-        m = edges.count()
+        left = edges.join(_on(live, "src"), ["case_id", "src"], "left_semi").join(_on(live, "dst"), ["case_id", "dst"], "left_semi").select(*EDGE)
+        m = left.count()
+        if m < n:
+            edges = keep(left, "trimmed", "src").rows
         if 10 * (n - m) < n:
             break
         n = m
     return edges
 
 
-def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contracted(edges: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """(edges, inner (case_id, node, before, after)): runs of nodes with one edge in and one out as one edge from before to after.
 
     Each inner node doubles its steps towards the ends of its run, so there are as many rounds as the longest run's length has binary digits.
     """
-    degree = _ends(edges, "src").withColumn("o", F.lit(1)).withColumn("i", F.lit(0)).union(_ends(edges, "dst").withColumn("o", F.lit(0)).withColumn("i", F.lit(1)))
+    end = lambda c, o, i: F.struct(F.col(c).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    degree = edges.select("case_id", F.explode(F.array(end("src", 1, 0), end("dst", 0, 1))).alias("e")).select("case_id", "e.*")
     inner = degree.groupBy(*NODE).agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select(*NODE)
-    inner = written(inner, "inner")
+    inner = keep(inner, "inner", "node").rows
     back = edges.join(_on(inner, "dst"), ["case_id", "dst"], "left_semi").select("case_id", F.col("dst").alias("node"), F.col("src").alias("before"))
     on = edges.join(_on(inner, "src"), ["case_id", "src"], "left_semi").select("case_id", F.col("src").alias("node"), F.col("dst").alias("after"))
     mine = lambda c: _on(inner, c).withColumn(f"{c}_open", F.lit(True))
     runs = back.join(on, NODE).join(mine("before"), ["case_id", "before"], "left").join(mine("after"), ["case_id", "after"], "left")
-    runs = written(runs.select(*NODE, "before", "after", *[F.coalesce(f"{c}_open", F.lit(False)).alias(f"{c}_open") for c in ("before", "after")]), "runs")
+    runs = keep(runs.select(*NODE, "before", "after", *[F.coalesce(f"{c}_open", F.lit(False)).alias(f"{c}_open") for c in ("before", "after")]), "runs", "node").rows
     open_ = F.count_if("before_open") + F.count_if("after_open")
     n = runs.agg(open_).first()[0]
     while n:
         for c in ("before", "after"):
             step = runs.select("case_id", F.col("node").alias(c), F.col(c).alias("further"), F.col(f"{c}_open").alias("more"))
             runs = runs.join(step, ["case_id", c], "left").withColumn(c, F.coalesce("further", c)).withColumn(f"{c}_open", F.coalesce("more", F.lit(False))).drop("further", "more")
-        runs = written(runs.select(*NODE, "before", "after", "before_open", "after_open"), "runs")
+        runs = keep(runs.select(*NODE, "before", "after", "before_open", "after_open"), "runs", "node").rows
         m = runs.agg(open_).first()[0]
         if m == n:  # some node of every run with ends comes to one in each round, so what is open now are cycles
             break
         n = m
     # A cycle of inner nodes alone has no ends and stays as it is.
-    gone = written(runs.where("NOT before_open AND NOT after_open").select(*NODE, "before", "after"), "gone")
+    gone = runs.where("NOT before_open AND NOT after_open").select(*NODE, "before", "after")
     kept = edges.join(_on(gone, "src"), ["case_id", "src"], "left_anti").join(_on(gone, "dst"), ["case_id", "dst"], "left_anti")
-    return written(kept.select(*EDGE).union(gone.select("case_id", "before", "after")).where("src <> dst").distinct(), "edges"), gone
+    ends = gone.select("case_id", F.col("before").alias("src"), F.col("after").alias("dst")).where("src <> dst").distinct()
+    out = keep(kept.select(*EDGE), "edges", "src")
+    out.add(ends.join(out.rows, EDGE, "left_anti"))
+    return out.rows, gone
+
 
+def coloured(edges: DataFrame, keep: Keep) -> DataFrame:
+    """(case_id, node, of): the node with the highest mark of all that reach a node, itself included.
 
-def coloured(edges: DataFrame) -> DataFrame:
-    """(case_id, node, mark, of): the node with the highest mark of all that reach a node, itself included, with its mark."""
-    mark = F.xxhash64("case_id", "node")
-    nodes = _ends(edges, "src").union(_ends(edges, "dst")).distinct()
-    state = written(nodes.select(*NODE, F.struct(mark.alias("mark"), F.col("node").alias("of")).alias("c"), F.lit(True).alias("new")), "colours")
+    A round tells only what the last one changed, and adds only what it changes itself.
+    """
+    mark = lambda of: F.struct(F.xxhash64("case_id", of).alias("mark"), F.col(of).alias("of"))
+    nodes = edges.select("case_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colours = keep(nodes.select(*NODE, F.col("node").alias("of"), F.lit(0).alias("round")), "colours", "node")
+    k = 0
     while True:
-        told = edges.join(_on(state.where("new"), "src", "c"), ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("node")).agg(F.max("src_c").alias("p"))
-        state = state.join(told, NODE, "left").select(*NODE, F.greatest("c", "p").alias("c"), F.coalesce(F.col("p") > F.col("c"), F.lit(False)).alias("new"))
-        state = written(state, "colours")
-        if state.where("new").isEmpty():
-            return state.select(*NODE, "c.mark", "c.of")
+        best = colours.rows.groupBy(*NODE).agg(F.max(mark("of")).alias("c"))
+        last = colours.rows.where(F.col("round") == k)
+        if last.isEmpty():
+            return best.select(*NODE, "c.of")
+        told = edges.join(_on(last, "src", "of"), ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("node")).agg(F.max(mark("src_of")).alias("p"))
+        k += 1
+        colours.add(told.join(best, NODE).where("p > c").select(*NODE, "p.of", F.lit(k)))
 
 
-def _found(edges: DataFrame, colours: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _found(edges: DataFrame, colours: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """((case_id, node, of) of the nodes that reach their colour's origin within the colour, the edges of one colour between the others)."""
-    own = written(edges.join(_on(colours, "src", "of"), ["case_id", "src"]).join(_on(colours, "dst", "of"), ["case_id", "dst"]).where("src_of = dst_of").select("case_id", "src", "dst"), "own")
-    state = written(colours.select(*NODE, "of", (F.col("node") == F.col("of")).alias("has")).withColumn("new", F.col("has")), "reached")
-    while True:
-        met = own.join(_on(state.where("new"), "dst"), ["case_id", "dst"], "left_semi").select("case_id", F.col("src").alias("node"), F.lit(True).alias("met")).distinct()
-        state = state.join(met, NODE, "left").select(*NODE, "of", (F.col("has") | F.coalesce("met", F.lit(False))).alias("has"), (~F.col("has") & F.coalesce("met", F.lit(False))).alias("new"))
-        state = written(state, "reached")
-        if state.where("new").isEmpty():
-            break
-    rest = state.where("NOT has")
-    left = own.join(_on(rest, "src"), ["case_id", "src"], "left_semi").join(_on(rest, "dst"), ["case_id", "dst"], "left_semi")
-    return state.where("has").select(*NODE, "of"), written(left.select(*EDGE), "edges")
+    own = edges.join(_on(colours, "src", "of"), ["case_id", "src"]).join(_on(colours, "dst", "of"), ["case_id", "dst"]).where("src_of = dst_of")
+    own = keep(own.select(*EDGE, F.col("src_of").alias("of")), "own", "dst").rows
+    reached = keep(colours.where("node = of").select(*NODE, "of", F.lit(0).alias("round")), "reached", "node")
+    k = 0
+    while not (last := reached.rows.where(F.col("round") == k)).isEmpty():
+        met = own.join(_on(last, "dst"), ["case_id", "dst"], "left_semi").select("case_id", F.col("src").alias("node"), "of").distinct()
+        k += 1
+        reached.add(met.join(reached.rows, NODE, "left_anti").select(*NODE, "of", F.lit(k)))
+    has = reached.rows.select(*NODE, "of")
+    left = own.join(_on(has, "src"), ["case_id", "src"], "left_anti").join(_on(has, "dst"), ["case_id", "dst"], "left_anti")
+    return has, keep(left.select(*EDGE), "edges", "src").rows
 
 
 def _in_tasks(edges: DataFrame) -> DataFrame:
@@ -123,38 +141,54 @@ def _in_tasks(edges: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "case_id long, node long, of long")
 
 
-def strong_components_large(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def strong_components_large(edges: DataFrame, small: int = SMALL, whole: int = WHOLE) -> DataFrame:
     """(case_id, node, root) of the strong components of two nodes or more; root is the smallest node of each.
 
-    small: edges of a case that one task may search.  The rounds follow the longest shortest way within a colour once runs were
-    drawn together; each keeps no more than a table of the nodes and one of the edges.
+    small: edges of a case that one task may search.  whole: edges of a case that is dealt as a whole, so that no join moves its edges
+    or nodes again; larger ones are dealt by their nodes.  The rounds follow the longest shortest way within a colour once runs were
+    drawn together; each adds no more than the nodes that it changes.
     """
     edges = written(edges.select(F.col("case_id").cast("long").alias("case_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "edges")
-    found, runs = [], []
-    while True:
-        edges = trimmed(edges)
-        sizes = edges.groupBy("case_id").count()
-        few = sizes.where(F.col("count") <= small).select("case_id")
-        found.append(written(_in_tasks(edges.join(few, "case_id", "left_semi")), "strong"))
-        edges = written(edges.join(few, "case_id", "left_anti"), "edges")
-        if edges.isEmpty():
-            break
-        edges, gone = contracted(edges)
-        runs.append(gone)
-        own, edges = _found(edges, coloured(edges))
-        found.append(written(own.join(own.groupBy("case_id", "of").count().where("count > 1").drop("count"), ["case_id", "of"], "left_semi").select(*NODE, "of"), "strong"))
-    all_ = found[0]
-    for x in found[1:]:
-        all_ = all_.unionByName(x)
-    for gone in reversed(runs):  # the inner nodes of a run are in its ends' component if both are in one; a run from a node to itself is a cycle
-        all_ = written(all_, "strong")
-        ends = gone.join(_on(all_, "before", "of"), ["case_id", "before"], "left").join(_on(all_, "after", "of"), ["case_id", "after"], "left")
-        same = (F.col("before") == F.col("after")) | (F.col("before_of") == F.col("after_of"))
-        own = ends.where(same).select(*NODE, F.coalesce("before_of", "before").alias("of"), "before", F.col("before_of").isNull().alias("alone"))
-        all_ = all_.union(own.select(*NODE, "of")).union(own.where("alone").select("case_id", F.col("before").alias("node"), "of").distinct())
-    all_ = written(all_, "strong")
-    roots = all_.groupBy("case_id", "of").agg(F.min("node").alias("root"))
-    return all_.join(roots, ["case_id", "of"]).select(*NODE, "root")
+    wide = written(edges.groupBy("case_id").count().where(F.col("count") > whole).select("case_id"), "wide")
+    if wide.isEmpty():
+        return _strong(edges, small, by_case=True)
+    narrow = _strong(edges.join(wide, "case_id", "left_anti"), small, by_case=True)
+    return narrow.unionByName(_strong(edges.join(wide, "case_id", "left_semi"), small, by_case=False))
+
+
+def _strong(edges: DataFrame, small: int, by_case: bool) -> DataFrame:
+    n = tasks(edges.count(), ROWS)
+
+    def keep(df: DataFrame, name: str, by: str) -> Dealt:
+        return Dealt(df, name, n, ["case_id"] if by_case else ["case_id", by])
+
+    with stay_dealt(edges.sparkSession):
+        edges = keep(edges, "edges", "src").rows
+        found, runs = [], []
+        while True:
+            edges = trimmed(edges, keep)
+            if small:
+                sizes = edges.groupBy("case_id").count()
+                few = sizes.where(F.col("count") <= small).select("case_id")
+                found.append(keep(_in_tasks(edges.join(few, "case_id", "left_semi")), "strong", "node").rows)
+                edges = keep(edges.join(few, "case_id", "left_anti"), "edges", "src").rows
+            if edges.isEmpty():
+                break
+            edges, gone = contracted(edges, keep)
+            runs.append(gone)
+            own, edges = _found(edges, coloured(edges, keep), keep)
+            found.append(own.join(own.groupBy("case_id", "of").count().where("count > 1"), ["case_id", "of"], "left_semi").select(*NODE, "of"))
+        all_ = keep(edges.select("case_id", F.col("src").alias("node"), F.col("dst").alias("of")), "strong", "node")  # no edge is left, so no row
+        for x in found:
+            all_.add(x)
+        for gone in reversed(runs):  # the inner nodes of a run are in its ends' component if both are in one; a run from a node to itself is a cycle
+            ends = gone.join(_on(all_.rows, "before", "of"), ["case_id", "before"], "left").join(_on(all_.rows, "after", "of"), ["case_id", "after"], "left")
+            same = (F.col("before") == F.col("after")) | (F.col("before_of") == F.col("after_of"))
+            of = F.coalesce("before_of", "before")
+            with_before = F.when(F.col("before_of").isNull(), F.array("node", "before")).otherwise(F.array("node"))
+            all_.add(ends.where(same).select("case_id", F.explode(with_before).alias("node"), of.alias("of")).distinct())
+        roots = all_.rows.groupBy("case_id", "of").agg(F.min("node").alias("root"))
+        return keep(all_.rows.join(roots, ["case_id", "of"]).select(*NODE, "root"), "roots", "node").rows
 
 
 def weak_components_large(edges: DataFrame, rounds: int = 60) -> DataFrame:

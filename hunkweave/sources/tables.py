@@ -3,30 +3,67 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of the intermediates that this process has written and not yet removed.
+#: Folders of the intermediates that this process has written and not yet removed, and the names of those that are tables of the catalog.
 _written: list[str] = []
+_named: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; only a local session that names none gets one."""
-    spark = df.sparkSession
+def _path(spark: SparkSession, name: str) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; only a local session that names none gets one."""
+    path = _path(df.sparkSession, name)
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Dealt:
+    """As ``written``, dealt by columns to n buckets, where joins and groups of ``stay_dealt`` find them; rows may be added."""
+
+    def __init__(self, df: DataFrame, name: str, n: int, by: list[str]) -> None:
+        self.spark, self.n, self.by = df.sparkSession, n, by
+        path = _path(self.spark, name)
+        self.name = path.rsplit("/", 1)[1].replace("-", "_")
+        df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).saveAsTable(self.name)
+        _written.append(path)
+        _named.append(self.name)
+
+    def add(self, df: DataFrame) -> None:
+        df.repartition(self.n, *self.by).write.insertInto(self.name)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
+@contextmanager
+def stay_dealt(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a join moves no side that is dealt by some of its keys, if the other side is dealt alike."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Tasks of a step beyond which it has larger ones, since the driver keeps figures of each, and how much larger these may be.
@@ -46,6 +83,8 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 
 def cleanup(spark: SparkSession) -> None:
     """Removes every intermediate; call it when results are written, since what reads them can't be computed again."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _written:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -68,3 +68,34 @@ def test_classes_stand_for_all_their_pairs(spark, small):
     nodes = df([(c, v) for c in range(6) for v in range(20)], "case_id long, patch_id long")
     rows = lambda x: {tuple(y) for y in x.select("case_id", "group_id", "patch_id", "kind").collect()}
     assert rows(graph._partitioned(nodes, df(edges, EDGES), small, df(classes, "case_id long, class_id long, patch_id long"))) == rows(graph._partitioned(nodes, df(edges + pairs, EDGES)))
+
+
+def test_cases_dealt_as_a_whole_and_by_nodes(spark):
+    edges = [e for e in shapes() if e[0] == 4] + [(1, i, (i + 1) % 5) for i in range(5)] + [(1, 5, 0), (1, 6, 7), (1, 7, 6)]
+    got = large_graph.strong_components_large(spark.createDataFrame(edges, EDGES).coalesce(2), small=0, whole=20).collect()  # case 4 has more
+    assert {tuple(r) for r in got} == plain([e for e in edges if e[1] != e[2]]) and len(got) == len(set(got))
+
+
+def test_no_join_moves_a_case_dealt_as_a_whole(spark, monkeypatch):
+    real, plans = large_graph.Dealt, []
+
+    class Told(real):
+        def __init__(self, df, *rest):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            super().__init__(df, *rest)
+
+        def add(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            super().add(df)
+
+    monkeypatch.setattr(large_graph, "Dealt", Told)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        edges = [(c, i, (i + 1) % 6) for c in range(9) for i in range(6)] + [(c, 2, 0) for c in range(9)] + [(c, 1, 4) for c in range(9)]
+        got = large_graph.strong_components_large(spark.createDataFrame(edges, EDGES).coalesce(2), small=0).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {tuple(r) for r in got} == {(c, i, 0) for c in range(9) for i in range(6)}
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Exchange" in p for p in plans)
