@@ -204,6 +204,7 @@ def mine_chains(commits: DataFrame, block: int = 4096) -> DataFrame:
     from ..functions.text import short_sha
 
     seg = pointer_segments(what_may_follow(commits), ["repo"], "seq", ["sha", "parents", "diffs"], MinerChain, 5, block)
-    held = seg.join(commits.select("repo", "seq", "sha"), ["repo", "seq"]).groupBy("repo", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "sha"))).alias("x"))
+    # A block is one short row until it is unfolded, so Spark takes all commits for few enough to be sent whole to every executor, by way of the driver.
+    held = seg.hint("merge").join(commits.select("repo", "seq", "sha"), ["repo", "seq"]).groupBy("repo", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "sha"))).alias("x"))
     chains = held.where(F.size("x") > 2).select("repo", "segment", F.transform("x", lambda r: short_sha(r["sha"])).alias("hashes"))
     return chains.select("repo", (F.row_number().over(Window.partitionBy("repo").orderBy("segment")) - 1).alias("case_id"), "hashes")
