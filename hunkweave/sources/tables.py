@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of the intermediates that this process has written and not yet removed, and the names of those that are tables of the catalog.
 _written: list[str] = []
@@ -27,12 +28,23 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of text beyond which a table isn't sent whole to every executor.
+SENT_ROWS, SENT_BYTES = 65_536, 10 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; only a local session that names none gets one."""
-    path = _path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; only a local session that names none gets one.
+
+    Spark takes a table for as large as its files.  Equal texts shrink to a hundredth there, so it would collect tables of any number of rows in the driver and send
+    them to every executor; one of more than SENT_ROWS rows is joined by sorting.
+    """
+    path, told = _path(df.sparkSession, name), Observation()
+    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() == "string"]
+    size = sum((F.coalesce(F.sum(c), F.lit(0)) for c in texts), F.lit(0).cast("long"))
+    df.observe(told, F.count(F.lit(1)).alias("rows"), size.alias("bytes")).write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if told.get["rows"] > SENT_ROWS or told.get["bytes"] > SENT_BYTES else out
 
 
 class Dealt:
